@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import cooccur, formdups, fusion, percentiles, topn
+from weirstone.llm import cooccur, encode, formdups, fusion, leaks, percentiles, topn
 from weirstone.sources.tables import SENTINELS, canonical_sub, latest_rows, table
 
 QUERIES: dict = {}
@@ -170,3 +172,39 @@ SELECT sub, month, rn, post_id FROM (
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = latest_rows(table(spark, sf_dir, "posts"), "post_id", "retrieved_at", ["sub", "month", "score"])
     return topn.top_n(p.withColumn("sub", canonical_sub("sub")), ["sub", "month"], "score", "post_id", 10)
+
+# 8 ---------------------------------------------------------------------------
+
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+@query()
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
+
+
+# 9 ---------------------------------------------------------------------------
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
+
+
+_GRAMS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+     i AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM eval_items WHERE text IS NOT NULL),
+     k AS (SELECT item_id, ws, least(13, len(ws)) AS k FROM i WHERE len(ws) > 0),
+     q AS (SELECT DISTINCT item_id, k, array_to_string(ws[j : j + k - 1], ' ') AS g FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM k)),
+     c AS (SELECT DISTINCT doc_id, k, array_to_string(ws[j : j + k - 1], ' ') AS g FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM w, (SELECT DISTINCT k FROM k)))
+"""
+
+
+@query(_GRAMS_SQL + "SELECT DISTINCT doc_id, item_id FROM q JOIN c USING (k, g)")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+@query(_GRAMS_SQL + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM q JOIN c USING (k, g))")
+def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that are left when those with leaks are removed."""
+    return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", _leaks(spark, sf_dir))
