@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import cooccur, encode, formdups, fusion, leaks, percentiles, topn
+from weirstone.llm import cooccur, encode, formdups, fusion, leaks, neardups, percentiles, topn
 from weirstone.sources.tables import SENTINELS, canonical_sub, latest_rows, table
 
 QUERIES: dict = {}
@@ -208,3 +208,15 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are left when those with leaks are removed."""
     return leaks.without_leaks(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", _leaks(spark, sf_dir))
+
+# 6 ---------------------------------------------------------------------------
+
+
+def _near(spark: SparkSession, sf_dir: str) -> neardups.NearDuplicates:
+    c = table(spark, sf_dir, "commenters").filter(~F.col("author").isin(*SENTINELS))
+    return neardups.NearDuplicates(c, "comment_id", "author", "body", 7, 10, 20)
+
+
+@query()
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).pairs().select(F.col("a").alias("comment_id_a"), F.col("b").alias("comment_id_b"))
