@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import cooccur, encode, formdups, fusion, leaks, neardups, percentiles, topn
+from weirstone.llm import cooccur, encode, formdups, fusion, leaks, neardups, percentiles, personal, topn
 from weirstone.sources.tables import SENTINELS, canonical_sub, latest_rows, table
 
 QUERIES: dict = {}
@@ -220,3 +220,16 @@ def _near(spark: SparkSession, sf_dir: str) -> neardups.NearDuplicates:
 @query()
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).pairs().select(F.col("a").alias("comment_id_a"), F.col("b").alias("comment_id_b"))
+
+# 10 --------------------------------------------------------------------------
+
+
+@query()
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.find_personal(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return personal.redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
