@@ -14,12 +14,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 LOW = -(2**63)
 
 
-@pandas_udf("bigint")
+@pandas_udf(T.LongType())
 def float_key(v: pd.Series) -> pd.Series:
     """Order-preserving integer of a double; null for null and NaN. -0.0 is 0.0."""
     x = v.to_numpy(dtype=np.float64, na_value=np.nan) + 0.0
@@ -27,7 +28,7 @@ def float_key(v: pd.Series) -> pd.Series:
     return pd.Series(np.where(bits >= 0, bits, bits ^ np.int64(2**63 - 1)), dtype="Int64").mask(np.isnan(x))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def key_float(k: pd.Series) -> pd.Series:
     """The double of an integer made by :func:`float_key`."""
     null = k.isna().to_numpy()
