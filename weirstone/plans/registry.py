@@ -1,7 +1,10 @@
 """All queries of the core, with their SQL."""
 
-from weirstone.plans import core
+from weirstone.plans import accounts, core
 
-QUERIES = {**core.QUERIES}
-SQL = {**core.SQL}
+_PARTS = [accounts.query]
+QUERIES, SQL = {**core.QUERIES}, {**core.SQL}
+for _p in _PARTS:
+    QUERIES |= _p.queries
+    SQL |= _p.sql
 FLAGSHIP = core.p1_found
