@@ -1,10 +1,10 @@
 """All queries of the core, with their SQL."""
 
-from weirstone.plans import accounts, core
+from weirstone.plans import accounts, core, monthly
 
-_PARTS = [accounts.query]
+_PARTS = [accounts.query, monthly.query]
 QUERIES, SQL = {**core.QUERIES}, {**core.SQL}
 for _p in _PARTS:
     QUERIES |= _p.queries
     SQL |= _p.sql
-FLAGSHIP = core.p1_found
+FLAGSHIP = monthly.prevalence_by_role
