@@ -15,7 +15,9 @@ Nothing is capped or sampled. The list of frequent words only sets the order; an
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.llm.leaks import word_text
+from weirstone.session import checkpointed, written
 
 #: Frequent words with a known place in the order. The list goes to every task, so this bounds it.
 FREQUENT = 20_000
@@ -30,8 +33,9 @@ FREQUENT = 20_000
 BLOCK = 20_000
 TOP = np.uint64(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-ENTRY = np.dtype([("cell", "<u8"), ("k0", "<u8"), ("k1", "<u8"), ("sketch", "<u4", 4), ("size", "<u2"), ("first", "u1"), ("side", "u1")])
-TILE = 1 << 21
+#: cell: 32 bits of it within its bucket (two cells that agree there are compared as one, which only costs time); key: 96 bits; flags: 4 if among the first words of a smaller set, plus the side.
+ENTRY = np.dtype([("cell", "<u4"), ("k0", "<u8"), ("k1", "<u4"), ("sketch", "<u4", 4), ("size", "<u2"), ("flags", "u1")])
+TILE = 1 << 17
 
 
 class Coder:
@@ -60,16 +64,12 @@ def _sets(batch: pa.RecordBatch, coder: Coder, least: int) -> Iterator[tuple[int
             yield i, a
 
 
-def _count(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
-        for b in batches:
-            parts = [a for _, a in _sets(b, coder, least)]
-            if parts:
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n.astype(np.int64))], ["code", "n"])
-
-    return run
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of each word in a batch, by its code."""
+    coder = Coder()
+    for b in batches:
+        n = Counter(chain.from_iterable(map(str.split, b.column("words").to_pylist())))
+        yield pa.RecordBatch.from_arrays([pa.array(map(coder, n), pa.int64()), pa.array(n.values(), pa.int64())], ["code", "n"])
 
 
 def _mixed(a: np.ndarray) -> np.ndarray:
@@ -81,20 +81,22 @@ def _mixed(a: np.ndarray) -> np.ndarray:
 
 
 def _code(least: int, frequent: dict[int, int]):
-    """Rows (key, id, author, words as sorted codes); the key is a 128-bit digest of the set."""
+    """Rows (key, id, author, and the sorted codes of rare and of frequent words); the key is a 96-bit digest of the set."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(frequent)
         for b in batches:
-            at, keys, sets = [], [], []
+            at, keys, rare, often = [], [], [], []
             for i, a in _sets(b, coder, least):
                 raw = a.tobytes()
+                cut = int(np.searchsorted(a, TOP))
                 at.append(i)
-                sets.append(raw)
-                keys.append(hashlib.blake2b(raw, digest_size=16).digest())
+                rare.append(raw[: 8 * cut])
+                often.append((a[cut:] ^ TOP).astype(np.uint32).tobytes())
+                keys.append(hashlib.blake2b(raw, digest_size=12).digest())
             rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("id").take(rows), b.column("author").take(rows), pa.array(sets, pa.binary())], ["key", "id", "author", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("id").take(rows), b.column("author").take(rows), pa.array(rare, pa.binary()), pa.array(often, pa.binary())], ["key", "id", "author", "rare", "often"])
 
     return run
 
@@ -103,11 +105,15 @@ def _ceil(a, b):
     return -(-a // b)
 
 
-def entries(keys: list[bytes], sets: list[bytes], num: int, den: int, blocks: dict[int, int]) -> np.ndarray:
-    """The cell entries of representatives; similarity num / den. ``blocks``: into how many a word's records are split."""
-    sizes = np.array([len(s) // 8 for s in sets], np.int64)
-    codes = np.frombuffer(b"".join(sets), np.uint64)
-    start = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+def entries(keys: list[bytes], rare: list[bytes], often: list[bytes], num: int, den: int, blocks: dict[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell entries of representatives and their buckets; similarity num / den. ``blocks``: into how many a word's records are split."""
+    few, many = (np.array([len(s) // w for s in x], np.int64) for x, w in ((rare, 8), (often, 4)))
+    sizes = few + many
+    start = np.cumsum(sizes) - sizes
+    codes = np.empty(sizes.sum(), np.uint64)
+    place = lambda n, first: np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+    codes[place(few, start)] = np.frombuffer(b"".join(rare), np.uint64)
+    codes[place(many, start + few)] = np.frombuffer(b"".join(often), np.uint32) | TOP
     bit = (_mixed(codes) >> np.uint64(57)).astype(np.int64)
     sketch = np.stack([np.bitwise_xor.reduceat(np.where(bit >> 5 == k, np.uint32(1) << (bit & 31).astype(np.uint32), np.uint32(0)).astype(np.uint32), start) for k in range(4)], axis=1)
     probe = sizes - _ceil(num * sizes, den) + 1
@@ -115,27 +121,26 @@ def entries(keys: list[bytes], sets: list[bytes], num: int, den: int, blocks: di
     rep = np.repeat(np.arange(len(sizes)), probe)
     nth = np.arange(len(rep)) - np.repeat(np.cumsum(probe) - probe, probe)
     word = codes[start[rep] + nth]
-    k = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+    k = np.frombuffer(b"".join(keys), np.dtype([("k0", "<u8"), ("k1", "<u4")]))
     g = np.fromiter((blocks.get(w, 1) for w in word.tolist()), np.int64, len(word)) if blocks else np.ones(len(word), np.int64)
-    own = (k[rep, 0] % g.astype(np.uint64)).astype(np.int64)
+    own = (k["k0"][rep] % g.astype(np.uint64)).astype(np.int64)
     other = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g)
     rep, nth, word, own = (np.repeat(x, g) for x in (rep, nth, word, own))
     lo, hi = np.minimum(own, other), np.maximum(own, other)
+    cell = _mixed(word ^ (_mixed((lo * 1_000_003 + hi).astype(np.uint64) + np.uint64(1))))
     e = np.empty(len(rep), ENTRY)
-    with np.errstate(over="ignore"):
-        e["cell"] = _mixed(word ^ (_mixed((lo * 1_000_003 + hi).astype(np.uint64) + np.uint64(1))))
-    e["k0"], e["k1"], e["sketch"], e["size"] = k[rep, 0], k[rep, 1], sketch[rep], np.minimum(sizes[rep], 65535)
-    e["first"] = nth < index[rep]
-    e["side"] = np.where(lo == hi, 0, np.where(own == lo, 1, 2))
-    return e
+    e["cell"], e["k0"], e["k1"] = cell >> np.uint64(32), k["k0"][rep], k["k1"][rep]
+    e["sketch"], e["size"] = sketch[rep], np.minimum(sizes[rep], 65535)
+    e["flags"] = 4 * (nth < index[rep]) + np.where(lo == hi, 0, np.where(own == lo, 1, 2))
+    return e, (cell & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
 
 
 def _emit(num: int, den: int, blocks: dict[int, int], buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 5000) for i in range(0, b.num_rows, 5000)):
-                e = entries(part.column("key").to_pylist(), part.column("set").to_pylist(), num, den, blocks)
-                bucket = (e["cell"] % np.uint64(buckets)).astype(np.int64)
+                e, bucket = entries(*(part.column(c).to_pylist() for c in ("key", "rare", "often")), num, den, blocks, buckets)
+                bucket = bucket.astype(np.int64)
                 o = np.argsort(bucket, kind="stable")
                 e, bucket = e[o], bucket[o]
                 at = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -161,8 +166,8 @@ def ring(d: np.ndarray, most: np.ndarray) -> np.ndarray:
 def _pruned(e: np.ndarray, y: np.ndarray, x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of entries (y the smaller set) that pass the sizes, the sides, and the ring."""
     sy, sx = e["size"][y].astype(np.int64), e["size"][x].astype(np.int64)
-    a, b = e["side"][y], e["side"][x]
-    keep = (den * sy >= num * sx) & (e["first"][y] == 1) & ((a == 0) | (a != b))
+    a, b = e["flags"][y] & 3, e["flags"][x] & 3
+    keep = (den * sy >= num * sx) & (e["flags"][y] >= 4) & ((a == 0) | (a != b))
     y, x, sy, sx = y[keep], x[keep], sy[keep], sx[keep]
     d = np.bitwise_count(e["sketch"][y] ^ e["sketch"][x])
     keep = ring(d, (den - num) * (sx + sy) // (den + num))
@@ -172,7 +177,7 @@ def _pruned(e: np.ndarray, y: np.ndarray, x: np.ndarray, num: int, den: int) ->
 def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
     """Distinct pairs of keys, as rows of four numbers, that survive the pruning in the cells of ``e``."""
     e = e[np.lexsort((e["size"], e["cell"]))]
-    head = np.flatnonzero(np.diff(e["cell"], prepend=e["cell"][0] + np.uint64(1)))
+    head = np.flatnonzero(np.diff(e["cell"], prepend=e["cell"][0] ^ np.uint32(1)))
     count = np.diff(np.append(head, len(e)))
     found = []
     small = np.repeat(count <= 24, count) & np.repeat(count > 1, count)
@@ -184,19 +189,18 @@ def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
         found.append(_pruned(e, i, i + step, num, den))
     for h, c in zip(head[count > 24].tolist(), count[count > 24].tolist()):
         g = e[h : h + c]
-        ys = np.flatnonzero(g["first"] == 1)
+        ys = np.flatnonzero(g["flags"] >= 4)
         sizes = g["size"].astype(np.int64)
-        seg = [np.ascontiguousarray(g["sketch"][:, k]) for k in range(4)]
+        one, two = (np.ascontiguousarray(g["sketch"][:, k : k + 2]).view(np.uint64).ravel() for k in (0, 2))
         width = max(1, TILE // c)
         for t in range(0, len(ys), width):
             y = ys[t : t + width]
             begin, end = int(y[0]), int(np.searchsorted(sizes, den * sizes[y[-1]] // num, "right"))
-            x = slice(begin, end)
-            most = ((den - num) * (sizes[y][:, None] + sizes[None, x]) // (den + num)).astype(np.uint16)
-            least = np.bitwise_count(seg[0][y][:, None] ^ seg[0][None, x])
-            for k in range(1, 4):  # the first link of a chain: some segment within a quarter
-                np.minimum(least, np.bitwise_count(seg[k][y][:, None] ^ seg[k][None, x]), out=least)
-            i, j = np.nonzero(4 * least.astype(np.uint16) <= most)
+            most = np.minimum((den - num) * (sizes[y] + den * sizes[y] // num) // (den + num), 255).astype(np.uint8)
+            # the last link of any chain, the whole ring, against the widest budget of the row; the ring itself with each pair's own budget follows
+            far = np.bitwise_count(one[y][:, None] ^ one[None, begin:end])
+            far += np.bitwise_count(two[y][:, None] ^ two[None, begin:end])
+            i, j = np.nonzero(far <= most[:, None])
             i, j = y[i], j + begin
             keep = i < j
             a, b = _pruned(g, i[keep], j[keep], num, den)
@@ -204,7 +208,8 @@ def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
     if not found:
         return np.empty((0, 4), np.uint64)
     y, x = (np.concatenate(z) for z in zip(*found))
-    one, two = (np.stack([e["k0"][z], e["k1"][z]], axis=1) for z in (y, x))
+    keys = e[["k0", "k1"]]
+    one, two = (np.stack([keys["k0"][z], keys["k1"][z].astype(np.uint64)], axis=1) for z in (y, x))
     swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
     rows = np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two]))
     rows = rows[(rows[:, 0] != rows[:, 2]) | (rows[:, 1] != rows[:, 3])]
@@ -215,7 +220,7 @@ def _meet(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
         rows = candidates(np.frombuffer(b"".join(t.column("block").to_pylist()), ENTRY), num, den)
         raw = [np.ascontiguousarray(rows[:, k : k + 2]).tobytes() for k in (0, 2)]
-        split = lambda r: pa.array([r[i : i + 16] for i in range(0, len(r), 16)], pa.binary())
+        split = lambda r: pa.array([r[i : i + 12] for i in range(0, len(r), 16)], pa.binary())
         return pa.table({"ka": split(raw[0]), "kb": split(raw[1])})
 
     return run
@@ -227,10 +232,13 @@ def _checked(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for sa, sb in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist()):
-                one, two = np.frombuffer(sa, np.uint64), np.frombuffer(sb, np.uint64)
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(den * both >= num * (len(one) + len(two) - both))
+            for ra, oa, rb, ob in zip(*(b.column(c).to_pylist() for c in ("ra", "oa", "rb", "ob"))):
+                both = all_ = 0
+                for one, two, kind in ((ra, rb, np.uint64), (oa, ob, np.uint32)):
+                    x, y = np.frombuffer(one, kind), np.frombuffer(two, kind)
+                    both += len(np.intersect1d(x, y, assume_unique=True))
+                    all_ += len(x) + len(y)
+                keep.append(den * both >= num * (all_ - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in ("ka", "kb")], ["ka", "kb"])
 
@@ -250,18 +258,21 @@ class NearDuplicates:
         spark = df.sparkSession
         rows = df.select(F.col(record_id).alias("id"), F.col(author).alias("author"), word_text(F.col(text)).alias("words")).dropna()
         kinds = {k: rows.schema[k].dataType.simpleString() for k in ("id", "author")}
-        counted = rows.select("words").mapInArrow(_count(least), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+        counted = rows.select("words").mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
         top = counted.orderBy(F.desc("n"), "code").limit(FREQUENT).collect()  # bounded: FREQUENT rows of two numbers
         frequent = {r.code: len(top) - i for i, r in enumerate(top)}
         blocks = {2**63 | frequent[r.code]: _ceil(r.n, BLOCK) for r in top if r.n > BLOCK}
         buckets = max(64, sum(r.n for r in top) // 200_000)
-        coded = rows.mapInArrow(_code(least, frequent), f"key binary, id {kinds['id']}, author {kinds['author']}, set binary")
+        # one pass over the texts; everything after reads this table
+        coded = written(rows.mapInArrow(_code(least, frequent), f"key binary, id {kinds['id']}, author {kinds['author']}, rare binary, often binary"))
         self.members = coded.select("key", "id", "author").distinct()
-        reps = coded.select("key", "set").dropDuplicates(["key"])
+        reps = coded.select("key", "rare", "often").dropDuplicates(["key"])
         cells = reps.mapInArrow(_emit(num, den, blocks, buckets), "bucket bigint, block binary")
         met = cells.groupBy("bucket").applyInArrow(_meet(num, den), "ka binary, kb binary").distinct()
-        sets = met.join(reps.select(F.col("key").alias("ka"), F.col("set").alias("sa")), "ka").join(reps.select(F.col("key").alias("kb"), F.col("set").alias("sb")), "kb")
-        self.links = sets.select("ka", "kb", "sa", "sb").mapInArrow(_checked(num, den), "ka binary, kb binary")
+        met = checkpointed(met)  # the candidates that are left, two keys each
+        sets = coded.select("key", "rare", "often").join(met.selectExpr("explode(array(ka, kb)) AS key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        side = lambda x: sets.select(F.col("key").alias(f"k{x}"), F.col("rare").alias(f"r{x}"), F.col("often").alias(f"o{x}"))
+        self.links = met.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "ra", "oa", "rb", "ob").mapInArrow(_checked(num, den), "ka binary, kb binary")
 
     def pairs(self) -> DataFrame:
         """Authors are paired before their records, so one author's copies are never held against each other."""

@@ -91,6 +91,7 @@ def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: list[fl
     """
     whole = dict(df.dtypes)[value] in ("tinyint", "smallint", "int", "bigint")
     key = F.col(value).cast("bigint") if whole else float_key(F.col(value).cast("double"))
-    keyed = df.select(*groups, key.alias("_key"))
-    out = select_ranks(radix_histogram(keyed, groups, "_key", bits), groups, quantiles, bits)
-    return out.select(*groups, "q", "n", (F.col("key") if whole else key_float("key")).alias("value"))
+    inner = [f"_g{i}" for i in range(len(groups))]  # no name of the caller's meets one of ours
+    keyed = df.select(*[F.col(g).alias(x) for g, x in zip(groups, inner)], key.alias("_key"))
+    out = select_ranks(radix_histogram(keyed, inner, "_key", bits), inner, quantiles, bits)
+    return out.select(*[F.col(x).alias(g) for g, x in zip(groups, inner)], "q", "n", (F.col("key") if whole else key_float("key")).alias("value"))
