@@ -44,11 +44,11 @@ _PHRASES = " OR ".join(f"coalesce(contains(lower(body), '{p}'), FALSE)" for p in
 _ORDER = ", ".join(f"{c} DESC NULLS LAST" for c in ["retrieved_at", *clean.POST_COLUMNS])
 #: c0, p0: all comments and posts, one row each; c, p: without automation and deleted accounts.
 VIEWS = f"""
-c0 AS (SELECT * REPLACE ({SUB} AS sub), CASE WHEN created_utc >= 100000000000 THEN created_utc // 1000 WHEN created_utc > 0 THEN created_utc END AS ts,
+c0 AS (SELECT * EXCLUDE (k) REPLACE ({SUB} AS sub), CASE WHEN created_utc >= 100000000000 THEN created_utc // 1000 WHEN created_utc > 0 THEN created_utc END AS ts,
               {_SEED} OR coalesce(distinguished = 'moderator', FALSE) OR {_PHRASES} AS is_seed, (author IS NULL OR author = '[deleted]') AS is_gone
        FROM (SELECT *, row_number() OVER (PARTITION BY comment_id ORDER BY commenter_tag NULLS LAST, retrieved_at DESC NULLS LAST, score DESC NULLS LAST, created_utc NULLS LAST) AS k
              FROM commenters WHERE comment_id IS NOT NULL) WHERE k = 1),
-p0 AS (SELECT * REPLACE ({SUB} AS sub), {_SEED} AS is_seed, (author IS NULL OR author = '[deleted]') AS is_gone
+p0 AS (SELECT * EXCLUDE (k) REPLACE ({SUB} AS sub), {_SEED} AS is_seed, (author IS NULL OR author = '[deleted]') AS is_gone
        FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY {_ORDER}) AS k FROM posts WHERE post_id IS NOT NULL) WHERE k = 1),
 c AS (SELECT * FROM c0 WHERE NOT is_seed AND NOT is_gone),
 p AS (SELECT * FROM p0 WHERE NOT is_seed AND NOT is_gone)
