@@ -212,8 +212,11 @@ def vif_kept(df: DataFrame, features: list[str], limit: float = 10.0) -> list[st
             gram[i, j] = gram[j, i] = next(it) or 0.0
     keep = [i for i in range(n) if gram[i, i] > 0]
     while len(keep) > 1:
-        g = gram[np.ix_(keep, keep)]
-        vif = np.diag(np.linalg.pinv(g)) * np.diag(g)
+        vif = np.empty(len(keep))
+        for k, i in enumerate(keep):  # what the other columns leave of a column's sum of squares, without an intercept
+            rest = [j for j in keep if j != i]
+            left = gram[i, i] - gram[i, rest] @ np.linalg.pinv(gram[np.ix_(rest, rest)]) @ gram[rest, i]
+            vif[k] = gram[i, i] / max(left, 1e-12 * gram[i, i])
         if vif.max() <= limit:
             break
         keep.pop(int(vif.argmax()))

@@ -11,10 +11,10 @@ from weirstone.operators import ranks
 
 def auc(df: DataFrame, key: str, label: str, score: str) -> DataFrame:
     """(auc, n_pos, n_neg): area under the ROC curve by the rank sum, ties at half."""
-    r = ranks.ranked(df.select(key, score), key, [score]).select(key, ranks.average_rank().alias("r"))
+    r = ranks.ranked(df.select(key, score), key, [score]).select(key, ranks.average_rank().alias("_r"))
     j = df.select(key, label).join(r, key)
     pos = F.col(label) == 1
-    a = j.agg(F.sum(F.when(pos, F.col("r"))).alias("s"), F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"))
+    a = j.agg(F.sum(F.when(pos, F.col("_r"))).alias("s"), F.count_if(pos).alias("n_pos"), F.count_if(~pos).alias("n_neg"))
     u = F.col("s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2
     return a.select(F.try_divide(u, (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"), "n_pos", "n_neg")
 
@@ -82,9 +82,9 @@ def kernel_density(df: DataFrame, value: str, points: int = 50) -> DataFrame:
 
 def benjamini_hochberg(df: DataFrame, key: str, p: str, level: float = 0.05) -> DataFrame:
     """(key, p, rejected) under a false discovery rate."""
-    r = ranks.ranked(df, key, [p]).select(key, F.col("v").alias("p"), (F.col("lower") + F.col("c")).alias("k"), "n")
-    limit = r.filter(F.col("p") <= F.col("k") / F.col("n") * level).agg(F.max("p").alias("cut"))
-    return r.join(F.broadcast(limit)).select(key, "p", F.coalesce(F.col("p") <= F.col("cut"), F.lit(False)).alias("rejected"))
+    r = ranks.ranked(df, key, [p]).select(key, F.col("v").alias("_p"), (F.col("lower") + F.col("c")).alias("_i"), F.col("n").alias("_n"))
+    limit = r.filter(F.col("_p") <= F.col("_i") / F.col("_n") * level).agg(F.max("_p").alias("_cut"))
+    return r.join(F.broadcast(limit)).select(key, F.col("_p").alias("p"), F.coalesce(F.col("_p") <= F.col("_cut"), F.lit(False)).alias("rejected"))
 
 
 def chronological_split(df: DataFrame, ts: str, train: float = 0.6, purge: float = 0.1) -> DataFrame:

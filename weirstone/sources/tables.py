@@ -38,10 +38,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ndjson(spark: SparkSession, folder: str, schema: str, suffix: str = "*.ndjson.zst") -> DataFrame:
     """Newline-delimited JSON of a folder. Missing keys become null, hidden files are skipped; no match is an error."""
     df = spark.read.schema(schema).option("mode", "PERMISSIVE").option("pathGlobFilter", suffix).json(folder)
-    files = [f for f in df.inputFiles() if not os.path.basename(f).startswith("._")]
-    if not files:
+    if not df.inputFiles():
         raise FileNotFoundError(f"no {suffix} in {folder}")
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(files)
+    return df
 
 
 def csv(spark: SparkSession, paths: str | list[str], optional: dict[str, str] | None = None) -> DataFrame:
