@@ -14,26 +14,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstone.session import checkpointed
-
-
-def places(values: DataFrame, ranges: int) -> DataFrame:
-    """(s, v, c, lower, n) of rows (s, v): each distinct value of a score with its rows, the rows below it and all rows.
-
-    Equal values are collapsed before they are sorted; the sorting is by range, so no task gets a whole score.
-    """
-    distinct = values.groupBy("s", "v").agg(F.count("*").alias("c"))
-    ordered = checkpointed(distinct.repartitionByRange(ranges, "s", "v").select("*", F.spark_partition_id().alias("part")))
-    totals = ordered.groupBy("s", "part").agg(F.sum("c").alias("k"))  # one row for each range and score
-    before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("s", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"), F.sum("k").over(Window.partitionBy("s")).alias("n"))
-    inside = Window.partitionBy("s", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = ordered.withColumn("inner", F.coalesce(F.sum("c").over(inside), F.lit(0)))
-    return ranked.join(totals, ["s", "part"]).select("s", "v", "c", (F.col("base") + F.col("inner")).alias("lower"), "n")
+from weirstone.operators.ranks import places
 
 
 def flows(placed: DataFrame, indifference: float, strict: float, ranges: int) -> DataFrame:
-    """(s, v, c, place, flow) of the distinct values from :func:`places`."""
+    """(s, v, c, place, flow) of the distinct values of :func:`weirstone.operators.ranks.places`."""
     p = placed.select("s", "v", "c", "n", (F.col("lower") / F.col("n")).alias("place"))
     none, far = F.lit(0.0), F.lit(None).cast("double")
     data = p.select("s", "v", "n", F.col("place").alias("at"), F.lit(0).alias("kind"), F.col("c").cast("double").alias("c"), (F.col("c") * F.col("place")).alias("cx"), far.alias("place"))

@@ -33,7 +33,7 @@ FREQUENT = 20_000
 BLOCK = 20_000
 TOP = np.uint64(1 << 63)
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: cell: 32 bits of it within its bucket (two cells that agree there are compared as one, which only costs time); key: 96 bits; flags: 4 if among the first words of a smaller set, plus the side.
+#: cell: 32 bits of it within its bucket (two cells that agree there are compared as one, which only costs time); key: 96 bits; flags: 4 times the word's place in its set (63 at most, which only loosens a bound), plus the side.
 ENTRY = np.dtype([("cell", "<u4"), ("k0", "<u8"), ("k1", "<u4"), ("sketch", "<u4", 4), ("size", "<u2"), ("flags", "u1")])
 TILE = 1 << 17
 
@@ -117,7 +117,6 @@ def entries(keys: list[bytes], rare: list[bytes], often: list[bytes], num: int,
     bit = (_mixed(codes) >> np.uint64(57)).astype(np.int64)
     sketch = np.stack([np.bitwise_xor.reduceat(np.where(bit >> 5 == k, np.uint32(1) << (bit & 31).astype(np.uint32), np.uint32(0)).astype(np.uint32), start) for k in range(4)], axis=1)
     probe = sizes - _ceil(num * sizes, den) + 1
-    index = sizes - _ceil(2 * num * sizes, num + den) + 1
     rep = np.repeat(np.arange(len(sizes)), probe)
     nth = np.arange(len(rep)) - np.repeat(np.cumsum(probe) - probe, probe)
     word = codes[start[rep] + nth]
@@ -131,7 +130,7 @@ def entries(keys: list[bytes], rare: list[bytes], often: list[bytes], num: int,
     e = np.empty(len(rep), ENTRY)
     e["cell"], e["k0"], e["k1"] = cell >> np.uint64(32), k["k0"][rep], k["k1"][rep]
     e["sketch"], e["size"] = sketch[rep], np.minimum(sizes[rep], 65535)
-    e["flags"] = 4 * (nth < index[rep]) + np.where(lo == hi, 0, np.where(own == lo, 1, 2))
+    e["flags"] = 4 * np.minimum(nth, 63) + np.where(lo == hi, 0, np.where(own == lo, 1, 2))
     return e, (cell & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
 
 
@@ -167,13 +166,24 @@ def _pruned(e: np.ndarray, y: np.ndarray, x: np.ndarray, num: int, den: int) ->
     """Pairs of entries (y the smaller set) that pass the sizes, the sides, and the ring."""
     sy, sx = e["size"][y].astype(np.int64), e["size"][x].astype(np.int64)
     a, b = e["flags"][y] & 3, e["flags"][x] & 3
-    keep = (den * sy >= num * sx) & (e["flags"][y] >= 4) & ((a == 0) | (a != b))
+    # in the cell of the first word they share, what they share lies at or after its place in both
+    shared = _ceil(num * (sx + sy), num + den)
+    placed = (e["flags"][y] >> 2 <= sy - shared) & (e["flags"][x] >> 2 <= sx - shared)
+    keep = (den * sy >= num * sx) & placed & ((a == 0) | (a != b))
     y, x, sy, sx = y[keep], x[keep], sy[keep], sx[keep]
     d = np.bitwise_count(e["sketch"][y] ^ e["sketch"][x])
     keep = ring(d, (den - num) * (sx + sy) // (den + num))
     return y[keep], x[keep]
 
 
+def _tiles(ys: np.ndarray, place: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """Blocks of rows, by size, that share the place of the word."""
+    for p in np.unique(place[ys]):
+        at = ys[place[ys] == p]
+        for t in range(0, len(at), width):
+            yield at[t : t + width]
+
+
 def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
     """Distinct pairs of keys, as rows of four numbers, that survive the pruning in the cells of ``e``."""
     e = e[np.lexsort((e["size"], e["cell"]))]
@@ -189,14 +199,14 @@ def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
         found.append(_pruned(e, i, i + step, num, den))
     for h, c in zip(head[count > 24].tolist(), count[count > 24].tolist()):
         g = e[h : h + c]
-        ys = np.flatnonzero(g["flags"] >= 4)
-        sizes = g["size"].astype(np.int64)
+        sizes, place = g["size"].astype(np.int64), g["flags"] >> 2
         one, two = (np.ascontiguousarray(g["sketch"][:, k : k + 2]).view(np.uint64).ravel() for k in (0, 2))
         width = max(1, TILE // c)
-        for t in range(0, len(ys), width):
-            y = ys[t : t + width]
-            begin, end = int(y[0]), int(np.searchsorted(sizes, den * sizes[y[-1]] // num, "right"))
-            most = np.minimum((den - num) * (sizes[y] + den * sizes[y] // num) // (den + num), 255).astype(np.uint8)
+        for y in _tiles(np.flatnonzero(place <= sizes - _ceil(2 * num * sizes, num + den)), place, width):
+            # the greatest size a partner may have, by the similarity and by the place of the word
+            top = np.minimum(den * sizes[y] // num, (num + den) * (sizes[y] - place[y]) // num - sizes[y])
+            begin, end = int(y[0]), int(np.searchsorted(sizes, top.max(), "right"))
+            most = np.minimum((den - num) * (sizes[y] + top) // (den + num), 255).astype(np.uint8)
             # the last link of any chain, the whole ring, against the widest budget of the row; the ring itself with each pair's own budget follows
             far = np.bitwise_count(one[y][:, None] ^ one[None, begin:end])
             far += np.bitwise_count(two[y][:, None] ^ two[None, begin:end])
