@@ -253,6 +253,21 @@ def test_personal_lines(text, want):
     assert {(n.kind, n.value) for n in personal.find(text)} == want
 
 
+@pytest.mark.parametrize("before", ["My name is ", "Mr ", "Kind regards,\n", "Signed, ", "Thanks,\n", "I spoke to ", "Je m'appelle "])
+@pytest.mark.parametrize("name", ["Olufemi Adeyemi", "O. Adeyemi"])
+def test_one_strong_cue_is_enough(before, name):
+    assert [(n.kind, n.value) for n in personal.find(f"{before}{name}.")] == [("name", name)]
+
+
+def test_initials_with_one_cue():
+    assert [n.value for n in personal.find("R. Foo refused to answer")] == ["R. Foo"]
+
+
+@pytest.mark.parametrize("text", ["It is at 123 Main Dr San Francisco", "Kind regards,\nCustomer Support Team", "I miss Central Park", "30 ms Latency Spike", "the U.S. Army said no", "Sr Software Engineer wanted", "MY FRIEND WENT HOME", "a game called Dark Souls", "My name is Dr Olufemi.", "Olufemi Adeyemi was there"])
+def test_no_names(text):
+    assert [n for n in personal.find(text) if n.kind == "name"] == []
+
+
 def test_skip_edges_carry_evidence():
     weak = "Quoma Zellburg was there. "
     assert personal.find(weak) == []
