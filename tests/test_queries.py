@@ -11,6 +11,27 @@ def test_sql(spark, data, duck, name):
     agree(registry.QUERIES[name](spark, data), duck, registry.SQL[name])
 
 
+def test_components_of_whole_vectors(spark, data, duck):
+    import numpy as np
+
+    rows = duck.sql("SELECT vec_id, embedding FROM embeddings ORDER BY vec_id").fetchall()
+    x = np.array([v for _, v in rows], float)
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    want = x @ np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:3].T
+    got = {r.vec_id: r.pc for r in registry.QUERIES["embedding_components"](spark, data).collect()}
+    mine = np.array([got[i] for i, _ in rows])
+    assert len(got) == len(rows) and np.allclose(np.abs(mine), np.abs(want), atol=1e-6)
+
+
+def test_coordinates_of_one_width(spark):
+    from weirstone.operators import models
+
+    df, names = models.coordinates(spark.createDataFrame([(1, [1.0] * 9), (2, None)], "k int, v array<double>"), "k", "v")
+    assert len(names) == 9 and {tuple(r) for r in df.collect()} == {(1, *[1.0] * 9), (2, *[None] * 9)}
+    with pytest.raises(ValueError):
+        models.coordinates(spark.createDataFrame([(1, [1.0] * 9), (2, [1.0])], "k int, v array<double>"), "k", "v")
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

@@ -104,6 +104,16 @@ def principal_components(df: DataFrame, key: str, features: list[str], k: int) -
     return m.transform(_doubles(df, m)).select(key, vector_to_array("_p").alias("pc")), m.stages[-1].explainedVariance.toArray().tolist()
 
 
+def coordinates(df: DataFrame, key: str, vector: str) -> tuple[DataFrame, list[str]]:
+    """((key, a column for each coordinate of an array column), their names). The width is that of the data; vectors of different widths are an error, null vectors give nulls."""
+    n = F.when(F.col(vector).isNotNull(), F.size(vector))
+    least, most = df.agg(F.min(n), F.max(n)).first()  # one row
+    if not most or least != most:
+        raise ValueError(f"vectors of one width are needed, not of {least} to {most} coordinates")
+    names = [f"e{i}" for i in range(most)]
+    return df.select(key, *[F.col(vector)[i].alias(c) for i, c in enumerate(names)]), names
+
+
 def clusters(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:
     """(key, cluster) by k-means on an array column."""
     from pyspark.ml.functions import array_to_vector

@@ -47,9 +47,9 @@ def embedding_clusters(spark, d):
 
 @query()
 def embedding_components(spark, d):
-    e = table(spark, d, "embeddings")
-    cols = [f"e{i}" for i in range(8)]
-    pc, _ = L.principal_components(e.select("vec_id", *[F.col("embedding")[i].alias(c) for i, c in enumerate(cols)]), "vec_id", cols, 3)
+    """Three components of the whole vectors."""
+    e, cols = L.coordinates(table(spark, d, "embeddings"), "vec_id", "embedding")
+    pc, _ = L.principal_components(e, "vec_id", cols, 3)
     return pc
 
 
