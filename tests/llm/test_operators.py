@@ -157,6 +157,19 @@ def test_ring_never_loses_a_pair():
     assert np.all(neardups.ring(d, most) == (d.sum(axis=1) <= most))
 
 
+def test_ring_stops_at_the_first_chain_over_its_budget():
+    import numpy as np
+
+    d, asked = np.array([[9, 0, 0, 0], [3, 6, 0, 0], [1, 1, 1, 6], [2, 2, 2, 2]]), []
+
+    def segment(k, rows):
+        asked.append(rows.tolist())
+        return d[rows, k]
+
+    assert neardups.ring(segment, np.full(4, 8)).tolist() == [False, False, False, True]
+    assert asked == [[0, 1, 2, 3], [1, 2, 3], [2, 3], [2, 3]]
+
+
 # top n
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicate records: an exact similarity join of word sets, pruned by the pigeonring principle.
+"""Near-duplicate records: an exact similarity join of word sets by prefix filtering, pruned by the distances of sketches segment by segment.
 
 Equal sets are collapsed into one representative before anything is compared, and the links found between representatives are expanded to records at the end.
 
@@ -7,8 +7,9 @@ Candidates. Words are put in one order, rare ones first. Two sets with a Jaccard
 each of its first words; a word that too many records hold is split into blocks, and each two of its blocks meet in a cell of their own.
 
 Pruning. t bounds the Hamming distance of two sets by H = (1 - t) / (1 + t) (|x| + |y|). A sketch of 128 bits, each the parity of the words hashed to it, never lies further apart
-than the sets. It is a ring of four segments. If their distances add up to H at most, then from some segment on the distances of 1, 2, 3 and 4 successive
-ones add up to no more than 1/4, 2/4, 3/4 and all of H. Pairs without such a chain are dropped; the others, few, are checked on their whole sets.
+than the sets. Its four segments are compared one after the other (in large cells the two halves), and a pair whose chain of segments is over H is dropped before the next one is looked at. The
+pairs left are those whose whole distance is H at most, no fewer: by the pigeonring theorem a chain within proportional budgets (1/4, 2/4, 3/4 and all of H) exists for each of these, so asking
+for one as well would drop nothing more. The chains thus save comparisons and make no candidates. The pairs left, few, are checked on their whole sets.
 
 Nothing is capped or sampled. The list of frequent words only sets the order; any order gives the same links.
 """
@@ -16,7 +17,7 @@ Nothing is capped or sampled. The list of frequent words only sets the order; an
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -149,16 +150,19 @@ def _emit(num: int, den: int, blocks: dict[int, int], buckets: int):
     return run
 
 
-def ring(d: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Which rows of four segment distances have a chain within the proportional budgets of ``most``."""
-    d, most = d.astype(np.int64), most.astype(np.int64)
-    found = np.zeros(len(d), bool)
-    for i in range(4):
-        ok, total = np.ones(len(d), bool), np.zeros(len(d), np.int64)
-        for n in range(4):
-            total += d[:, (i + n) % 4]
-            ok &= 4 * total <= (n + 1) * most
-        found |= ok
+def ring(d: np.ndarray | Callable[[int, np.ndarray], np.ndarray], most: np.ndarray) -> np.ndarray:
+    """Which rows' four segment distances add up to ``most`` at most.
+
+    ``d``: the distances, or a function that gives those of a segment for some rows. It isn't asked for rows whose chain is over the budget already.
+    """
+    get = d if callable(d) else lambda k, at: d[at, k]
+    found, at = np.zeros(len(most), bool), np.arange(len(most))
+    total, most = np.zeros(len(most), np.int64), most.astype(np.int64)
+    for k in range(4):
+        total = total + get(k, at)
+        keep = total <= most
+        at, total, most = at[keep], total[keep], most[keep]
+    found[at] = True
     return found
 
 
@@ -171,8 +175,8 @@ def _pruned(e: np.ndarray, y: np.ndarray, x: np.ndarray, num: int, den: int) ->
     placed = (e["flags"][y] >> 2 <= sy - shared) & (e["flags"][x] >> 2 <= sx - shared)
     keep = (den * sy >= num * sx) & placed & ((a == 0) | (a != b))
     y, x, sy, sx = y[keep], x[keep], sy[keep], sx[keep]
-    d = np.bitwise_count(e["sketch"][y] ^ e["sketch"][x])
-    keep = ring(d, (den - num) * (sx + sy) // (den + num))
+    s = e["sketch"]
+    keep = ring(lambda k, at: np.bitwise_count(s[y[at], k] ^ s[x[at], k]), (den - num) * (sx + sy) // (den + num))
     return y[keep], x[keep]
 
 
@@ -207,12 +211,12 @@ def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
             top = np.minimum(den * sizes[y] // num, (num + den) * (sizes[y] - place[y]) // num - sizes[y])
             begin, end = int(y[0]), int(np.searchsorted(sizes, top.max(), "right"))
             most = np.minimum((den - num) * (sizes[y] + top) // (den + num), 255).astype(np.uint8)
-            # the last link of any chain, the whole ring, against the widest budget of the row; the ring itself with each pair's own budget follows
+            # the first half against the widest budget of the row; the second one only for pairs that are left; the segments with each pair's own budget follow
             far = np.bitwise_count(one[y][:, None] ^ one[None, begin:end])
-            far += np.bitwise_count(two[y][:, None] ^ two[None, begin:end])
             i, j = np.nonzero(far <= most[:, None])
+            far, most = far[i, j], most[i]
             i, j = y[i], j + begin
-            keep = i < j
+            keep = (i < j) & (far + np.bitwise_count(two[i] ^ two[j]) <= most)
             a, b = _pruned(g, i[keep], j[keep], num, den)
             found.append((a + h, b + h))
     if not found:
