@@ -32,6 +32,15 @@ def test_coordinates_of_one_width(spark):
         models.coordinates(spark.createDataFrame([(1, [1.0] * 9), (2, [1.0])], "k int, v array<double>"), "k", "v")
 
 
+def test_model_scores_have_all_rounds(spark, data, monkeypatch):
+    from weirstone.plans import modelling
+
+    seen, train = [], modelling.L.train
+    monkeypatch.setattr(modelling.L, "train", lambda *a: seen.append(train(*a)) or seen[-1])
+    scores = [r.score for r in registry.QUERIES["model_scores"](spark, data).collect()]
+    assert seen[0].stages[-1].getNumTrees == 150 and scores and all(0 <= s <= 1 for s in scores)
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

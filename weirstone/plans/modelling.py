@@ -11,6 +11,8 @@ from weirstone.plans.research import edges
 from weirstone.sources.tables import table
 
 query = Registry()
+#: Trees of the registered model, as many as the reference's monthly refresh has (n_estimators of BEST_CFG).
+ROUNDS = 150
 FEATURES = ["n_comments", "n_subs", "mean_score", "submitter_rate", "mean_depth", "mean_body_len", "removal_rate"]
 
 
@@ -22,7 +24,7 @@ def frame(spark, d):
 @query()
 def model_scores(spark, d):
     f = frame(spark, d)
-    return L.score(f, L.train(f, L.boosted(FEATURES, "y", rounds=5), "y"), "author", "n_comments", 5)
+    return L.score(f, L.train(f, L.boosted(FEATURES, "y", rounds=ROUNDS), "y"), "author", "n_comments", 5)
 
 
 @query()
