@@ -87,6 +87,24 @@ def test_small_sample_procedures(spark):
     assert models.correlation_kept({("a", "b"): 0.9, ("a", "c"): 0.4, ("b", "c"): 0.1}, ["a", "b", "c"]) == ["b", "c"]
 
 
+@pytest.mark.parametrize("n", [3, 40, 150, 400])
+def test_dip_is_that_of_the_best_of_all_modes(n):
+    def gap(a, b):  # greatest distance from the lower hull
+        at, low = [0], 0
+        while low < len(a) - 1:
+            low += 1 + int(np.argmin((b[low + 1 :] - b[low]) / (a[low + 1 :] - a[low])))
+            at.append(low)
+        return (b - np.interp(a, a[at], b[at])).max()
+
+    rnd = np.random.default_rng(n)
+    for x in (rnd.normal(0, 1, n), np.concatenate([rnd.normal(0, 1, n // 3), rnd.normal(5, 2, n - n // 3)])):
+        v, c = np.unique(x, return_counts=True)
+        f = np.cumsum(c) / n
+        want = min(max(gap(v[: m + 1], f[: m + 1]), gap(-v[m:][::-1], -f[m:][::-1])) for m in range(1, len(v) - 1))
+        got = models.dip_statistic(x)
+        assert math.isclose(got, max(want / 2, 1 / (2 * n)), rel_tol=1e-9)
+
+
 def test_pinned_model(spark, tmp_path):
     rnd = random.Random(2)
     rows = [(f"k{i}", None if i % 17 == 0 else i % 2 + rnd.gauss(0, 0.3), rnd.random(), i % 2 if i % 5 else None) for i in range(200)]
