@@ -38,6 +38,27 @@ def test_offsets(tok):
         assert list(zip(start.tolist(), end.tolist())) == [tuple(o) for o in e.offsets]
 
 
+def test_offsets_of_rows(spark, tok):
+    rows = [(i, t) for i, t in enumerate([*TEXTS, None, TEXTS[0]])]
+    df = spark.createDataFrame(rows, "k bigint, text string").repartition(3)
+    got = {r.k: (r.ids, list(zip(r.starts, r.ends))) for r in encode.encode_offsets(df, "k", "text", PATH).collect()}
+    want = {i: tok.encode(t or "", add_special_tokens=False) for i, t in rows}
+    assert got == {i: (e.ids, [tuple(o) for o in e.offsets]) for i, e in want.items()}
+    assert encode.encode_offsets(df.limit(0), "k", "text", PATH).count() == 0
+
+
+def test_offsets_and_round_trip_of_all_documents(spark, data, tok, duck):
+    from weirstone.llm import queries
+
+    docs = duck.sql("SELECT doc_id, text FROM documents").fetchall()
+    texts = dict(docs)
+    rows = queries.QUERIES["p8_offsets"](spark, data).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        e = tok.encode(texts[r.doc_id] or "", add_special_tokens=False)
+        assert r.text == (texts[r.doc_id] or "") and r.ids == e.ids and list(zip(r.starts, r.ends)) == [tuple(o) for o in e.offsets]
+
+
 def test_cache_limit(monkeypatch, tok):
     monkeypatch.setattr(encode, "CACHE", 3)
     enc = encode.PieceEncoder(PATH)

@@ -126,6 +126,30 @@ def char_offsets(text: str, ids: list[int], path: str) -> tuple[np.ndarray, np.n
     return lead[starts] - 1, lead[ends - 1]
 
 
+def _tokens(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = PieceEncoder(path)
+        for b in batches:
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = enc.ids(texts)
+                spans = [char_offsets(t, x, path) for t, x in zip(texts, ids)]
+                ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
+                lists = lambda values, ends=ends: pa.ListArray.from_arrays(ends, pa.array(values.astype(np.int32)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1].as_py())
+                start, end = (np.concatenate([s[k] for s in spans] or [flat]) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([part.column("id"), lists(flat), lists(start), lists(end)], ["id", "ids", "starts", "ends"])
+
+    return run
+
+
+def encode_offsets(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
+    """(``key``, ids, starts, ends): the ids of ``encode()`` with the first character of each token and the one after its last, as ``char_offsets`` gives them. Empty lists for empty and null texts."""
+    rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
+    out = rows.mapInArrow(_tokens(path), f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
+    return out.select(F.col("id").alias(key), "ids", "starts", "ends")
+
+
 def decode(df: DataFrame, key: str, ids: str, path: str) -> DataFrame:
     """(``key``, text) of rows of ids; null ids give an empty text."""
 

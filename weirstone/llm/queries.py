@@ -183,6 +183,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"), "doc_id", "text", os.path.join(TOKENIZERS, "byte_bpe_50k.json"))
 
 
+@query()
+def p8_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, offsets and the decoded text of every document. Rows of a document that stands several times stay apart, as the text is decoded beside its ids."""
+    path = os.path.join(TOKENIZERS, "byte_bpe_50k.json")
+    e = encode.encode_offsets(table(spark, sf_dir, "documents"), "doc_id", "text", path).select(F.struct("doc_id", "ids", "starts", "ends").alias("row"), "ids")
+    return encode.decode(e, "row", "ids", path).select("row.*", "text")
+
+
 # 9 ---------------------------------------------------------------------------
 
 
