@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstone.session import checkpointed
+from weirstone.session import written
 
+#: Distinct values in a range of the sort.
+RANGE = 500_000
 
-def places(values: DataFrame, ranges: int = 64) -> DataFrame:
+
+def ranges_for(n: int) -> int:
+    """The number of ranges for ``n`` distinct values, so that a range's size doesn't grow with the data."""
+    return max(8, -(-n // RANGE))
+
+
+def places(values: DataFrame, ranges: int | None = None) -> DataFrame:
     """(s, v, c, lower, n) of rows (s, v): each distinct value of series s with its rows, the rows below it and all rows.
 
     Equal values are collapsed before they are sorted, and the sorting is by range; the ranges' totals are one row each.
     """
-    distinct = values.groupBy("s", "v").agg(F.count("*").alias("c"))
-    ordered = checkpointed(distinct.repartitionByRange(ranges, "s", "v").select("*", F.spark_partition_id().alias("part")))
+    distinct = written(values.groupBy("s", "v").agg(F.count("*").alias("c")))
+    ordered = written(distinct.repartitionByRange(ranges or ranges_for(distinct.count()), "s", "v").select("*", F.spark_partition_id().alias("part")))
     totals = ordered.groupBy("s", "part").agg(F.sum("c").alias("k"))
     before = Window.partitionBy("s").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("s", "part", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"), F.sum("k").over(Window.partitionBy("s")).alias("n"))
@@ -23,7 +31,7 @@ def places(values: DataFrame, ranges: int = 64) -> DataFrame:
     return ranked.join(totals, ["s", "part"]).select("s", "v", "c", (F.col("base") + F.col("inner")).alias("lower"), "n")
 
 
-def ranked(df: DataFrame, key: str, cols: list[str], ranges: int = 64) -> DataFrame:
+def ranked(df: DataFrame, key: str, cols: list[str], ranges: int | None = None) -> DataFrame:
     """(key, s, v, c, lower, n) for every row and column, s being the column's number. Nulls are no values."""
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)]))
     long = df.select(F.col(key), each.alias("e")).select(key, "e.s", "e.v").filter(F.col("v").isNotNull())

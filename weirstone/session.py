@@ -25,30 +25,43 @@ def build_session(app: str = "weirstone", master: str | None = None, **conf: str
     return b.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the reliable checkpoint folder, with its lineage cut.
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a folder of our own is set.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Where that is unset, a session on one machine (as in tests) gets a folder of
+    its own; on a cluster it is an error, since other hosts couldn't read what a host keeps to itself.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all hosts share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weirstone-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the reliable checkpoint folder, with its lineage cut."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once as a Parquet table into the shared folder and read back, for results that several branches read.
 
-    Columnar and compressed, it takes less room than a checkpoint. The table stays until the folder is cleared.
+    Columnar and compressed, it takes less room than a checkpoint. The tables of a session stand in one folder below ``spark.checkpoint.dir``;
+    :func:`drop_written` removes them.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weirstone-checkpoint-"))
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Removes the tables that :func:`written` left in this session's folder, once their results have been used; gives their number."""
+    sc = spark.sparkContext
+    folder = sc._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    old = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("table-")]
+    return sum(fs.delete(p, True) for p in old)
