@@ -1,76 +1,98 @@
-"""Near-duplicate records: an exact similarity join of word sets by prefix filtering, pruned by the distances of sketches segment by segment.
+"""Near-duplicate records: an exact similarity join of word sets by prefix filtering and pigeonring chains.
 
-Equal sets are collapsed into one representative before anything is compared, and the links found between representatives are expanded to records at the end.
+Equal sets are collapsed into one representative before anything is compared, and the links found between representatives are
+expanded to records at the end.
 
 Candidates. Words are put in one order, rare ones first. Two sets with a Jaccard similarity of t or more share a word among the first
-|x| - ceil(t |x|) + 1 of the larger set x and the first |y| - ceil(2 t / (1 + t) |y|) + 1 of the smaller set y. Each representative goes to a cell for
-each of its first words; a word that too many records hold is split into blocks, and each two of its blocks meet in a cell of their own.
-
-Pruning. t bounds the Hamming distance of two sets by H = (1 - t) / (1 + t) (|x| + |y|). A sketch of 128 bits, each the parity of the words hashed to it, never lies further apart
-than the sets. Its four segments are compared one after the other (in large cells the two halves), and a pair whose chain of segments is over H is dropped before the next one is looked at. The
-pairs left are those whose whole distance is H at most, no fewer: by the pigeonring theorem a chain within proportional budgets (1/4, 2/4, 3/4 and all of H) exists for each of these, so asking
-for one as well would drop nothing more. The chains thus save comparisons and make no candidates. The pairs left, few, are checked on their whole sets.
+|x| - ceil(t |x|) + 1 of the larger set x and the first |y| - ceil(2 t / (1 + t) |y|) + 1 of the smaller set y. Each representative
+goes to a cell for each of its first words; a word that too many records hold is split into blocks, and each two of its blocks meet
+in a cell of their own.
+
+Pruning. t bounds the Hamming distance of two sets by H = (1 - t) / (1 + t) (|x| + |y|). A sketch holds the parities of the words
+hashed to each of its bits and never lies further apart than the sets. Its four segments form a ring. A pair is admitted
+only if some chain of three consecutive segments has each of its beginnings within its share of the budget: the first segment
+within H / 4, the first two within 2 H / 4, all three within 3 H / 4. Each pair of distance H or less has such a chain, so no link is lost; a pair that has
+none is dropped without its fourth segment or its words being looked at. In large cells the first half of the sketch
+is held against the whole of H beforehand, for blocks of rows at once. Pairs that are left are checked on their whole sets.
+The sketch grows with the sets (128 bits up to 96 words, four times as wide for each four times as many), so long texts are told apart as well.
 
 Nothing is capped or sampled. The list of frequent words only sets the order; any order gives the same links.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.leaks import word_text
 from weirstone.session import checkpointed, written
 
 #: Frequent words with a known place in the order. The list goes to every task, so this bounds it.
 FREQUENT = 20_000
 #: Records that hold a word, from which on its cell is split.
 BLOCK = 20_000
-TOP = np.uint64(1 << 63)
+#: Cell entries in a bucket, and in a partition of buckets.
+BUCKET, PART = 200_000, 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: cell: 32 bits of it within its bucket (two cells that agree there are compared as one, which only costs time); key: 96 bits; flags: 4 times the word's place in its set (63 at most, which only loosens a bound), plus the side.
-ENTRY = np.dtype([("cell", "<u4"), ("k0", "<u8"), ("k1", "<u4"), ("sketch", "<u4", 4), ("size", "<u2"), ("flags", "u1")])
+#: Bits of a word's place in the order; frequent words have the top one set and the others grow with the frequency.
+ORDER_BITS = 51
+OFTEN = np.uint64(1 << (ORDER_BITS - 1))
+#: Words up to which a sketch of 128 bits serves; each further class is four times as large.
+CLASS_WORDS, CLASSES = 96, 8
 TILE = 1 << 17
+_SPACED = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
 
 
-class Coder:
-    """64-bit codes of words. A frequent word's code has its top bit set and grows with its frequency."""
+def entry_type(kind: int) -> np.dtype:
+    """A cell entry of a size class.
 
-    def __init__(self, frequent: dict[int, int] | None = None):
-        import xxhash
+    cell: 32 bits of it within its bucket (two cells that agree there are compared as one, which only costs time); short: 64 bits of the set's key; flags: 4 times
+    the word's place in its set (63 at most, which only loosens a bound), plus the side.
+    """
+    return np.dtype([("cell", "<u4"), ("short", "<u8"), ("sketch", "<u8", 2 * 4**kind), ("size", "u1" if kind == 0 else "<u2" if kind < 5 else "<u4"), ("flags", "u1")])
 
-        self.hash, self.known, self.frequent = xxhash.xxh3_64_intdigest, {}, frequent or {}
 
-    def __call__(self, word: str) -> int:
-        if (c := self.known.get(word)) is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            h = self.hash(word) & (2**63 - 1)
-            c = self.known[word] = 2**63 | self.frequent[h] if h in self.frequent else h
+class Coder(dict):
+    """64-bit codes of words, kept while they are few."""
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) > 500_000:
+            self.clear()
+        c = self[word] = xxhash.xxh3_64_intdigest(word) - 2**63
         return c
 
 
-def _sets(batch: pa.RecordBatch, coder: Coder, least: int) -> Iterator[tuple[int, np.ndarray]]:
-    for i, words in enumerate(batch.column("words").to_pylist()):
-        s = set(words.split(" "))
-        if len(s) >= least:
-            a = np.fromiter(map(coder, s), np.uint64, len(s))
-            a.sort()
-            yield i, a
+def _code(least: int):
+    """Rows (key, short, id, author, sorted codes of the words); the key is a 96-bit digest of the set, short its first 64 bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
+        import xxhash
 
+        find, get = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall, Coder().__getitem__
+        for b in batches:
+            at, keys, codes, ends = [], [], [], [0]
+            for i, text in enumerate(b.column("text").to_pylist()):
+                low = text.lower()
+                words = set(low.translate(_SPACED).split() if low.isascii() else find(low))
+                if len(words) >= least:
+                    a = np.fromiter(map(get, words), np.int64, len(words))
+                    a.sort()
+                    at.append(i)
+                    codes.append(a)
+                    ends.append(ends[-1] + len(a))
+                    keys.append(xxhash.xxh3_128_digest(a.tobytes())[:12])
+            rows = pa.array(at, pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(codes) if codes else np.empty(0, np.int64)))
+            short = pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), short, b.column("id").take(rows), b.column("author").take(rows), lists], ["key", "short", "id", "author", "codes"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of each word in a batch, by its code."""
-    coder = Coder()
-    for b in batches:
-        n = Counter(chain.from_iterable(map(str.split, b.column("words").to_pylist())))
-        yield pa.RecordBatch.from_arrays([pa.array(map(coder, n), pa.int64()), pa.array(n.values(), pa.int64())], ["code", "n"])
+    return run
 
 
 def _mixed(a: np.ndarray) -> np.ndarray:
@@ -81,93 +103,105 @@ def _mixed(a: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def _code(least: int, frequent: dict[int, int]):
-    """Rows (key, id, author, and the sorted codes of rare and of frequent words); the key is a 96-bit digest of the set."""
-    import hashlib
+def _ceil(a, b):
+    return -(-a // b)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(frequent)
-        for b in batches:
-            at, keys, rare, often = [], [], [], []
-            for i, a in _sets(b, coder, least):
-                raw = a.tobytes()
-                cut = int(np.searchsorted(a, TOP))
-                at.append(i)
-                rare.append(raw[: 8 * cut])
-                often.append((a[cut:] ^ TOP).astype(np.uint32).tobytes())
-                keys.append(hashlib.blake2b(raw, digest_size=12).digest())
-            rows = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), b.column("id").take(rows), b.column("author").take(rows), pa.array(rare, pa.binary()), pa.array(often, pa.binary())], ["key", "id", "author", "rare", "often"])
 
-    return run
+def _class(size: np.ndarray) -> np.ndarray:
+    """The size class of sets of so many words."""
+    return np.searchsorted([CLASS_WORDS * 4**k for k in range(CLASSES - 1)], size)
 
 
-def _ceil(a, b):
-    return -(-a // b)
+class Order:
+    """The places of words in the order, and the number of blocks of the most frequent ones."""
+
+    def __init__(self, ranked: list[tuple[int, int]], block: int):
+        """``ranked``: (code, records) of frequent words, the most frequent first."""
+        codes = np.array([c for c, _ in ranked], np.int64)
+        o = np.argsort(codes)
+        self.codes, self.ranks = codes[o], (len(ranked) - np.arange(len(ranked)))[o].astype(np.uint64)
+        n = np.array([n for _, n in ranked][::-1], np.int64)
+        self.blocks = np.concatenate(([1], np.maximum(1, _ceil(n, block))))  # by rank
+
+    def __call__(self, codes: np.ndarray) -> np.ndarray:
+        rare = codes.view(np.uint64) & (OFTEN - np.uint64(1))
+        if not len(self.codes):
+            return rare
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, self.ranks[at] | OFTEN, rare)
+
+    def split(self, word: np.ndarray) -> np.ndarray:
+        return self.blocks[np.where(word & OFTEN, word & (OFTEN - np.uint64(1)), 0).astype(np.int64)]
 
 
-def entries(keys: list[bytes], rare: list[bytes], often: list[bytes], num: int, den: int, blocks: dict[int, int], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The cell entries of representatives and their buckets; similarity num / den. ``blocks``: into how many a word's records are split."""
-    few, many = (np.array([len(s) // w for s in x], np.int64) for x, w in ((rare, 8), (often, 4)))
-    sizes = few + many
+def entries(short: np.ndarray, sizes: np.ndarray, codes: np.ndarray, order: Order, num: int, den: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cell entries of representatives in a size class, and the hashes of their cells; similarity num / den."""
+    n, bits = len(sizes), 128 * 4**kind
+    row = np.repeat(np.arange(n), sizes)
     start = np.cumsum(sizes) - sizes
-    codes = np.empty(sizes.sum(), np.uint64)
-    place = lambda n, first: np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
-    codes[place(few, start)] = np.frombuffer(b"".join(rare), np.uint64)
-    codes[place(many, start + few)] = np.frombuffer(b"".join(often), np.uint32) | TOP
-    bit = (_mixed(codes) >> np.uint64(57)).astype(np.int64)
-    sketch = np.stack([np.bitwise_xor.reduceat(np.where(bit >> 5 == k, np.uint32(1) << (bit & 31).astype(np.uint32), np.uint32(0)).astype(np.uint32), start) for k in range(4)], axis=1)
+    bit = (_mixed(codes.view(np.uint64)) >> np.uint64(64 - 7 - 2 * kind)).astype(np.int64)
+    sketch = np.packbits((np.bincount(row * bits + bit, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits), axis=1).view("<u8")
+    ordered = np.sort((row.astype(np.uint64) << np.uint64(ORDER_BITS)) | order(codes)) & np.uint64((1 << ORDER_BITS) - 1)
     probe = sizes - _ceil(num * sizes, den) + 1
-    rep = np.repeat(np.arange(len(sizes)), probe)
+    rep = np.repeat(np.arange(n), probe)
     nth = np.arange(len(rep)) - np.repeat(np.cumsum(probe) - probe, probe)
-    word = codes[start[rep] + nth]
-    k = np.frombuffer(b"".join(keys), np.dtype([("k0", "<u8"), ("k1", "<u4")]))
-    g = np.fromiter((blocks.get(w, 1) for w in word.tolist()), np.int64, len(word)) if blocks else np.ones(len(word), np.int64)
-    own = (k["k0"][rep] % g.astype(np.uint64)).astype(np.int64)
+    word = ordered[start[rep] + nth]
+    g = order.split(word)
+    own = (short[rep] % g.astype(np.uint64)).astype(np.int64)
     other = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g)
     rep, nth, word, own = (np.repeat(x, g) for x in (rep, nth, word, own))
     lo, hi = np.minimum(own, other), np.maximum(own, other)
-    cell = _mixed(word ^ (_mixed((lo * 1_000_003 + hi).astype(np.uint64) + np.uint64(1))))
-    e = np.empty(len(rep), ENTRY)
-    e["cell"], e["k0"], e["k1"] = cell >> np.uint64(32), k["k0"][rep], k["k1"][rep]
-    e["sketch"], e["size"] = sketch[rep], np.minimum(sizes[rep], 65535)
+    cell = _mixed(word ^ (_mixed((lo * 1_000_003 + hi).astype(np.uint64) + np.uint64(1 + kind))))
+    e = np.empty(len(rep), entry_type(kind))
+    e["cell"], e["short"] = cell >> np.uint64(32), short[rep]
+    e["sketch"], e["size"] = sketch[rep], sizes[rep]
     e["flags"] = 4 * np.minimum(nth, 63) + np.where(lo == hi, 0, np.where(own == lo, 1, 2))
-    return e, (cell & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)
+    return e, cell & np.uint64(0xFFFFFFFF)
 
 
-def _emit(num: int, den: int, blocks: dict[int, int], buckets: int):
+def _emit(num: int, den: int, order: Order, buckets: int):
+    """Entries by bucket. A set also goes to the next size class where a larger partner may be in it. Bucket numbers tell the class."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part in (b.slice(i, 5000) for i in range(0, b.num_rows, 5000)):
-                e, bucket = entries(*(part.column(c).to_pylist() for c in ("key", "rare", "often")), num, den, blocks, buckets)
-                bucket = bucket.astype(np.int64)
-                o = np.argsort(bucket, kind="stable")
-                e, bucket = e[o], bucket[o]
-                at = np.flatnonzero(np.diff(bucket, prepend=-1))
-                ends = np.append(at[1:], len(e))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array([e[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())], ["bucket", "block"])
+            for part in (b.slice(i, 4000) for i in range(0, b.num_rows, 4000)):
+                short, lists = part.column("short").to_numpy().view(np.uint64), part.column("codes")
+                sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+                codes = lists.flatten().to_numpy()
+                first, last = _class(sizes), _class(den * sizes // num)
+                start = np.cumsum(sizes) - sizes
+                for kind in range(int(first.min()), int(last.max()) + 1):
+                    here = np.flatnonzero((first <= kind) & (last >= kind))
+                    step = max(1, (1 << 22) // (128 * 4**kind))  # sketches of a step take 4 MB
+                    for at in (here[i : i + step] for i in range(0, len(here), step)):
+                        own = np.concatenate([codes[start[i] : start[i] + sizes[i]] for i in at.tolist()]) if len(at) < len(sizes) else codes
+                        e, cell = entries(short[at], sizes[at], own, order, num, den, kind)
+                        bucket = (cell % np.uint64(buckets)).astype(np.int64)
+                        o = np.argsort(bucket, kind="stable")
+                        e, bucket = e[o], bucket[o]
+                        heads = np.flatnonzero(np.diff(bucket, prepend=-1))
+                        blocks = [e[i:j].tobytes() for i, j in zip(heads, np.append(heads[1:], len(e)))]
+                        yield pa.RecordBatch.from_arrays([pa.array(bucket[heads] * CLASSES + kind), pa.array(blocks, pa.binary())], ["bucket", "block"])
 
     return run
 
 
-def ring(d: np.ndarray | Callable[[int, np.ndarray], np.ndarray], most: np.ndarray) -> np.ndarray:
-    """Which rows' four segment distances add up to ``most`` at most.
-
-    ``d``: the distances, or a function that gives those of a segment for some rows. It isn't asked for rows whose chain is over the budget already.
-    """
-    get = d if callable(d) else lambda k, at: d[at, k]
-    found, at = np.zeros(len(most), bool), np.arange(len(most))
-    total, most = np.zeros(len(most), np.int64), most.astype(np.int64)
-    for k in range(4):
-        total = total + get(k, at)
-        keep = total <= most
-        at, total, most = at[keep], total[keep], most[keep]
-    found[at] = True
+def ring(d: np.ndarray, most: np.ndarray, length: int = 3) -> np.ndarray:
+    """Which rows of segment distances have a chain of ``length`` consecutive segments, each of whose beginnings keeps within its share of ``most``."""
+    m, found = d.shape[1], np.zeros(len(most), bool)
+    budget = [k * most.astype(np.int64) // m for k in range(length + 1)]
+    for i in range(m):
+        at, total = np.arange(len(most)), np.zeros(len(most), np.int64)
+        for k in range(1, length + 1):
+            total = total + d[at, (i + k - 1) % m]
+            keep = total <= budget[k][at]
+            at, total = at[keep], total[keep]
+        found[at] = True
     return found
 
 
 def _pruned(e: np.ndarray, y: np.ndarray, x: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of entries (y the smaller set) that pass the sizes, the sides, and the ring."""
+    """Pairs of entries (y the smaller set) that pass the sizes, the places, the sides, and the ring."""
     sy, sx = e["size"][y].astype(np.int64), e["size"][x].astype(np.int64)
     a, b = e["flags"][y] & 3, e["flags"][x] & 3
     # in the cell of the first word they share, what they share lies at or after its place in both
@@ -176,20 +210,49 @@ def _pruned(e: np.ndarray, y: np.ndarray, x: np.ndarray, num: int, den: int) ->
     keep = (den * sy >= num * sx) & placed & ((a == 0) | (a != b))
     y, x, sy, sx = y[keep], x[keep], sy[keep], sx[keep]
     s = e["sketch"]
-    keep = ring(lambda k, at: np.bitwise_count(s[y[at], k] ^ s[x[at], k]), (den - num) * (sx + sy) // (den + num))
+    d = np.bitwise_count((s[y] ^ s[x]).view(np.uint32)).reshape(len(y), 4, s.shape[1] // 2).sum(axis=2, dtype=np.int64)
+    keep = ring(d, (den - num) * (sx + sy) // (den + num))
     return y[keep], x[keep]
 
 
-def _tiles(ys: np.ndarray, place: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """Blocks of rows, by size, that share the place of the word."""
-    for p in np.unique(place[ys]):
-        at = ys[place[ys] == p]
-        for t in range(0, len(at), width):
-            yield at[t : t + width]
+def _near(g: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large cell, sorted by size, whose sketch halves form a chain, looked for in blocks of rows at once: no half over the budget before it counts as within its share."""
+    sizes, place = g["size"].astype(np.int64), (g["flags"] >> 2).astype(np.int64)
+    middle = g["sketch"].shape[1] // 2
+    halves = [np.ascontiguousarray(g["sketch"][:, k]) for k in (0, middle)]  # of wider sketches a part of each half
+    room = [np.empty(max(TILE, len(g)), t) for t in (np.uint64, np.uint8, bool)]
+    rows = np.flatnonzero(place <= sizes - _ceil(2 * num * sizes, num + den))
+    # partners by the place of the word in them, which bounds their sizes from below
+    columns = [(int(p), np.flatnonzero(place == p)) for p in np.unique(place)] if len(g) > 400 else [(0, np.arange(len(g)))]
+    for p in np.unique(place[rows]).tolist():
+        ys = rows[place[rows] == p]
+        for q, xs in columns:
+            width, ends = max(1, TILE // len(xs)), sizes[xs]
+            for y in (ys[t : t + width] for t in range(0, len(ys), width)):
+                sy = sizes[y]
+                # the greatest size a partner may have, by the similarity and by the place of the word
+                top = np.minimum(den * sy // num, (num + den) * (sy - p) // num - sy)
+                least = max(int(sy[0]), _ceil((num + den) * q + num * int(sy[0]), den)) if q < 63 else int(sy[0])
+                begin, end = np.searchsorted(ends, [least, int(top[-1]) + 1])
+                if begin >= end:
+                    continue
+                most = np.minimum((den - num) * (sy + top) // (den + num), 255).astype(np.uint8)
+                x = xs[begin:end]
+                cells = len(y) * len(x)
+                differ, far, near = (a[:cells].reshape(len(y), len(x)) for a in room)
+                np.bitwise_xor(halves[0][y][:, None], halves[0][x][None, :], out=differ)
+                np.less_equal(np.bitwise_count(differ, out=far), most[:, None], out=near)
+                at = np.flatnonzero(room[2][:cells])
+                i = at // len(x)
+                share = most[i] // 2
+                i, j, one = y[i], x[at - i * len(x)], room[1][at]
+                # the ring of the two halves: one of them keeps within half of the budget
+                keep = (i < j) & ((one <= share) | (np.bitwise_count(halves[1][i] ^ halves[1][j]) <= share))
+                yield i[keep], j[keep]
 
 
 def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Distinct pairs of keys, as rows of four numbers, that survive the pruning in the cells of ``e``."""
+    """Distinct pairs of short keys, the lesser first, that survive the pruning in the cells of ``e``."""
     e = e[np.lexsort((e["size"], e["cell"]))]
     head = np.flatnonzero(np.diff(e["cell"], prepend=e["cell"][0] ^ np.uint32(1)))
     count = np.diff(np.append(head, len(e)))
@@ -202,59 +265,23 @@ def candidates(e: np.ndarray, num: int, den: int) -> np.ndarray:
             break
         found.append(_pruned(e, i, i + step, num, den))
     for h, c in zip(head[count > 24].tolist(), count[count > 24].tolist()):
-        g = e[h : h + c]
-        sizes, place = g["size"].astype(np.int64), g["flags"] >> 2
-        one, two = (np.ascontiguousarray(g["sketch"][:, k : k + 2]).view(np.uint64).ravel() for k in (0, 2))
-        width = max(1, TILE // c)
-        for y in _tiles(np.flatnonzero(place <= sizes - _ceil(2 * num * sizes, num + den)), place, width):
-            # the greatest size a partner may have, by the similarity and by the place of the word
-            top = np.minimum(den * sizes[y] // num, (num + den) * (sizes[y] - place[y]) // num - sizes[y])
-            begin, end = int(y[0]), int(np.searchsorted(sizes, top.max(), "right"))
-            most = np.minimum((den - num) * (sizes[y] + top) // (den + num), 255).astype(np.uint8)
-            # the first half against the widest budget of the row; the second one only for pairs that are left; the segments with each pair's own budget follow
-            far = np.bitwise_count(one[y][:, None] ^ one[None, begin:end])
-            i, j = np.nonzero(far <= most[:, None])
-            far, most = far[i, j], most[i]
-            i, j = y[i], j + begin
-            keep = (i < j) & (far + np.bitwise_count(two[i] ^ two[j]) <= most)
-            a, b = _pruned(g, i[keep], j[keep], num, den)
-            found.append((a + h, b + h))
+        for i, j in _near(e[h : h + c], num, den):
+            if len(i):
+                found.append(_pruned(e, i + h, j + h, num, den))
     if not found:
-        return np.empty((0, 4), np.uint64)
-    y, x = (np.concatenate(z) for z in zip(*found))
-    keys = e[["k0", "k1"]]
-    one, two = (np.stack([keys["k0"][z], keys["k1"][z].astype(np.uint64)], axis=1) for z in (y, x))
-    swap = (one[:, 0] > two[:, 0]) | ((one[:, 0] == two[:, 0]) & (one[:, 1] > two[:, 1]))
-    rows = np.where(swap[:, None], np.hstack([two, one]), np.hstack([one, two]))
-    rows = rows[(rows[:, 0] != rows[:, 2]) | (rows[:, 1] != rows[:, 3])]
-    return np.unique(rows, axis=0) if len(rows) else rows
+        return np.empty((0, 2), np.int64)
+    y, x = (e["short"][np.concatenate(z)].view(np.int64) for z in zip(*found))
+    lo, hi = np.minimum(y, x), np.maximum(y, x)
+    o = np.lexsort((hi, lo))
+    lo, hi = lo[o], hi[o]
+    return np.stack([lo, hi], axis=1)[(lo != hi) & np.concatenate(([True], (np.diff(lo) != 0) | (np.diff(hi) != 0)))[: len(lo)]]
 
 
 def _meet(num: int, den: int):
     def run(t: pa.Table) -> pa.Table:
-        rows = candidates(np.frombuffer(b"".join(t.column("block").to_pylist()), ENTRY), num, den)
-        raw = [np.ascontiguousarray(rows[:, k : k + 2]).tobytes() for k in (0, 2)]
-        split = lambda r: pa.array([r[i : i + 12] for i in range(0, len(r), 16)], pa.binary())
-        return pa.table({"ka": split(raw[0]), "kb": split(raw[1])})
-
-    return run
-
-
-def _checked(num: int, den: int):
-    """The full check on whole sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            keep = []
-            for ra, oa, rb, ob in zip(*(b.column(c).to_pylist() for c in ("ra", "oa", "rb", "ob"))):
-                both = all_ = 0
-                for one, two, kind in ((ra, rb, np.uint64), (oa, ob, np.uint32)):
-                    x, y = np.frombuffer(one, kind), np.frombuffer(two, kind)
-                    both += len(np.intersect1d(x, y, assume_unique=True))
-                    all_ += len(x) + len(y)
-                keep.append(den * both >= num * (all_ - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(mask) for k in ("ka", "kb")], ["ka", "kb"])
+        kind = entry_type(t.column("bucket")[0].as_py() % CLASSES)
+        rows = candidates(np.frombuffer(b"".join(t.column("block").to_pylist()), kind), num, den)
+        return pa.table({"sa": rows[:, 0], "sb": rows[:, 1]})
 
     return run
 
@@ -262,42 +289,52 @@ def _checked(num: int, den: int):
 class NearDuplicates:
     """Links between the records of ``df`` whose word sets are similar by num / den or more.
 
-    Words are runs of letters, marks and digits in lower case; sets under ``least`` words take no part. Rows with a null id, author or text don't either, rows of one id, author
-    and text are one record, other columns aren't read, texts are taken whole (sets of 65,535 words and more are compared by their sets alone), and empty tables give empty results.
+    Words are runs of letters, marks and digits in lower case; sets under ``least`` words take no part. Rows with a null id, author or text
+    don't either, rows of one id, author and text are one record, other columns aren't read, texts are taken whole, and empty tables give
+    empty results.
 
-    ``members``: (key, id, author), key being the class of equal word sets. ``links``: (ka, kb) between classes, ka < kb. ``pairs()``: (a, b), a < b, all pairs of ids of different authors.
+    ``members``: rows (key, id, author), key being the class of equal word sets. ``links``: (ka, kb) between classes, ka < kb. ``pairs()``: (a, b),
+    a < b, all pairs of ids of different authors.
     """
 
     def __init__(self, df: DataFrame, record_id: str, author: str, text: str, num: int = 7, den: int = 10, least: int = 20):
-        spark = df.sparkSession
-        rows = df.select(F.col(record_id).alias("id"), F.col(author).alias("author"), word_text(F.col(text)).alias("words")).dropna()
+        rows = df.select(F.col(record_id).alias("id"), F.col(author).alias("author"), F.col(text).alias("text")).dropna()
+        rows = rows.filter(F.length("text") >= 2 * least - 1)  # so many words and what parts them
         kinds = {k: rows.schema[k].dataType.simpleString() for k in ("id", "author")}
-        counted = rows.select("words").mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-        top = counted.orderBy(F.desc("n"), "code").limit(FREQUENT).collect()  # bounded: FREQUENT rows of two numbers
-        frequent = {r.code: len(top) - i for i, r in enumerate(top)}
-        blocks = {2**63 | frequent[r.code]: _ceil(r.n, BLOCK) for r in top if r.n > BLOCK}
-        buckets = max(64, sum(r.n for r in top) // 200_000)
         # one pass over the texts; everything after reads this table
-        coded = written(rows.mapInArrow(_code(least, frequent), f"key binary, id {kinds['id']}, author {kinds['author']}, rare binary, often binary"))
-        self.members = coded.select("key", "id", "author").distinct()
-        reps = coded.select("key", "rare", "often").dropDuplicates(["key"])
-        cells = reps.mapInArrow(_emit(num, den, blocks, buckets), "bucket bigint, block binary")
-        met = cells.groupBy("bucket").applyInArrow(_meet(num, den), "ka binary, kb binary").distinct()
-        met = checkpointed(met)  # the candidates that are left, two keys each
-        sets = coded.select("key", "rare", "often").join(met.selectExpr("explode(array(ka, kb)) AS key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-        side = lambda x: sets.select(F.col("key").alias(f"k{x}"), F.col("rare").alias(f"r{x}"), F.col("often").alias(f"o{x}"))
-        self.links = met.join(side("a"), "ka").join(side("b"), "kb").select("ka", "kb", "ra", "oa", "rb", "ob").mapInArrow(_checked(num, den), "ka binary, kb binary")
+        coded = written(rows.mapInArrow(_code(least), f"key binary, short bigint, id {kinds['id']}, author {kinds['author']}, codes array<bigint>"))
+        counted = coded.select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+        top = counted.orderBy(F.desc("n"), "code").limit(FREQUENT).collect()  # bounded: FREQUENT rows of two numbers
+        order = Order([(r.code, r.n) for r in top], BLOCK)
+        held = coded.agg(F.sum(F.size("codes"))).first()[0] or 0
+        expected = held * (den - num) // den + held // least  # entries, about
+        buckets, parts = max(64, expected // BUCKET), max(8, expected // PART)
+        self.members = coded.select("key", "id", "author")
+        reps = coded.select("short", "key", "codes").dropDuplicates(["short", "key"])
+        cells = reps.mapInArrow(_emit(num, den, order, buckets), "bucket bigint, block binary")
+        met = cells.repartition(parts, "bucket").groupBy("bucket").applyInArrow(_meet(num, den), "sa bigint, sb bigint").distinct()
+        self.candidates = met = checkpointed(met)  # those that are left, two numbers each
+        # two sets that share a short key are told apart by the check
+        sets = coded.join(met.selectExpr("explode(array(sa, sb)) AS short").distinct(), "short", "left_semi").select("short", "key", "codes").dropDuplicates(["short", "key"])
+        side = lambda x: sets.select(F.col("short").alias(f"s{x}"), F.col("key").alias(f"k{x}"), F.col("codes").alias(f"c{x}"))
+        both = F.size(F.array_intersect("ca", "cb"))
+        similar = den * both >= num * (F.size("ca") + F.size("cb") - both)
+        links = met.join(side("a"), "sa").join(side("b"), "sb").filter(similar)
+        self.links = written(links.select(F.least("ka", "kb").alias("ka"), F.greatest("ka", "kb").alias("kb")))
 
     def pairs(self) -> DataFrame:
         """Authors are paired before their records, so one author's copies are never held against each other."""
-        by = self.members.select("key", "author").distinct()
         h = F.xxhash64("author")
-        same = by.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select(F.col("key").alias("ka"), F.col("key").alias("kb"))
-        links = self.links.unionByName(same)
+        same = self.members.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("key")
+        touched = self.links.selectExpr("explode(array(ka, kb)) AS key").unionByName(same).distinct()
+        # only classes with a partner go on
+        m = written(self.members.join(touched, "key", "left_semi").distinct())
+        by = m.select("key", "author").distinct()
+        alone = by.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("key").alias("ka"), F.col("key").alias("kb"))
+        links = self.links.unionByName(alone)
         one = by.select(F.col("key").alias("ka"), F.col("author").alias("xa"))
         two = by.select(F.col("key").alias("kb"), F.col("author").alias("xb"))
         authors = links.join(one, "ka").join(two, "kb").filter((F.col("xa") != F.col("xb")) & ((F.col("ka") != F.col("kb")) | (F.col("xa") < F.col("xb"))))
-        m = self.members
         ids = authors.join(m.select(F.col("key").alias("ka"), F.col("author").alias("xa"), F.col("id").alias("ia")), ["ka", "xa"])
         ids = ids.join(m.select(F.col("key").alias("kb"), F.col("author").alias("xb"), F.col("id").alias("ib")), ["kb", "xb"])
         return ids.filter("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
