@@ -1,22 +1,27 @@
 """Records that differ only in formatting, by progressive partition refinement.
 
-Refinement 1 splits the records by invariants that cost little and that no change of formatting or order of fields can alter:
-the number of letters, marks and digits and the counts of a few frequent letters. Only classes with several records go on to refinement 2, which builds the full
-form of a body and its digest. Members of a class that nothing shares leave the data before the costly key is built.
+Refinement 1 splits the records by invariants that cost little and that no change of formatting or order of fields can alter: the
+number of letters, marks and digits, and a histogram of them, kept as one sum of weights by byte. For ASCII bodies it is read off the raw
+bytes of an Arrow batch at once, with no regular expression and no lower-casing. Only classes with several records go on to refinement 2, which
+builds the full form of a body and its digest. Members of a class that nothing shares leave the data before the costly key is built.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirstone.session import written
+
 #: All but letters, marks and digits.
 NOISE = r"[^\p{L}\p{M}\p{N}]+"
 _WS = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"
 _BLANK = rf"^{_WS}*$"
 _FIELD = rf"^{_WS}*[A-Za-z][A-Za-z ]{{0,19}}:"
-#: Letters whose counts make the histogram.
-LETTERS = "aeinorstा"
 
 
 def stripped(body: Column) -> Column:
@@ -24,10 +29,45 @@ def stripped(body: Column) -> Column:
     return F.regexp_replace(F.lower(body), NOISE, "")
 
 
-def invariants(text: Column) -> Column:
-    """One integer from the length and the letter histogram of a stripped text."""
-    counts = [F.length(F.replace(text, F.lit(x), F.lit(""))) for x in LETTERS]
-    return F.xxhash64(F.length(text), *counts)
+def _weights() -> np.ndarray:
+    """A weight for each byte: 0 for ASCII signs, the same for both cases of an ASCII letter."""
+    w = np.random.default_rng(20_240_517).integers(1, 2**63, 256, dtype=np.uint64)
+    for c in range(128):
+        w[c] = w[ord(chr(c).lower())] if chr(c).isalnum() else 0
+    return w
+
+
+def invariants(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the number of its letters, marks and digits, and a sum of weights that only depends on which these are, in lower case.
+
+    A text with other than ASCII characters is reduced first; both forms of a small sigma, which depend on the place in the word, count as one.
+    """
+    import regex
+
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    start, w = offsets - offsets[0], _weights()
+    total = lambda x: np.diff(np.concatenate((np.zeros(1, x.dtype), np.cumsum(x)))[start])
+    with np.errstate(over="ignore"):
+        size, mark = total((w[raw] > 0).astype(np.int64)), total(w[raw])
+        for i in np.flatnonzero(total((raw >= 128).astype(np.int64))):
+            kept = regex.sub(NOISE, "", texts[int(i)].as_py().lower()).replace("ς", "σ")
+            size[i], mark[i] = len(kept), w[np.frombuffer(kept.encode(), np.uint8)].sum(dtype=np.uint64)
+    return size, mark
+
+
+def _classes(min_chars: int, with_body: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, mark = invariants(b.column("body").cast(pa.string()))
+            with np.errstate(over="ignore"):
+                code = (mark + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+            keep = pa.array(size >= min_chars)
+            columns = ["id", "body"] if with_body else ["id"]
+            yield pa.RecordBatch.from_arrays([pa.array(code).filter(keep), *(b.column(c).filter(keep) for c in columns)], ["class", *columns])
+
+    return run
 
 
 def form(body: Column) -> Column:
@@ -40,14 +80,13 @@ def form(body: Column) -> Column:
 
 
 def members_by_form(df: DataFrame, record_id: str, body: str, min_chars: int = 30) -> DataFrame:
-    """(form, id): each record of a form that at least two records may share, form as a digest."""
-    rows = df.select(F.col(record_id).alias("id"), F.col(body).alias("body")).dropna()
-    rows = rows.withColumn("text", stripped(F.col("body"))).filter(F.length("text") >= min_chars)
-    rows = rows.select("id", "body", invariants(F.col("text")).alias("class"))
+    """(form, id): each record of a form that at least two records may share, form as a digest; written once."""
+    rows = df.select(F.col(record_id).alias("id"), F.col(body).alias("body")).dropna().filter(F.length("body") >= min_chars)
+    kind = rows.schema["id"].dataType.simpleString()
     h = F.xxhash64("id")
-    several = rows.groupBy("class").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("class")
-    left = rows.join(several, "class", "left_semi")
-    return left.select(F.unhex(F.md5(form(F.col("body")).cast("binary"))).alias("form"), "id").distinct()
+    several = rows.mapInArrow(_classes(min_chars, False), f"class bigint, id {kind}").groupBy("class").agg(F.min(h).alias("lo"), F.max(h).alias("hi")).filter("lo <> hi").select("class")
+    left = rows.mapInArrow(_classes(min_chars, True), f"class bigint, id {kind}, body string").join(several, "class", "left_semi")
+    return written(left.select(F.unhex(F.md5(form(F.col("body")).cast("binary"))).alias("form"), "id").distinct())
 
 
 def form_classes(df: DataFrame, record_id: str, body: str, min_chars: int = 30) -> DataFrame:
