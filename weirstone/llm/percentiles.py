@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from weirstone.session import written
+
 LOW = -(2**63)
 
 
@@ -93,5 +95,6 @@ def percentiles(df: DataFrame, groups: list[str], value: str, quantiles: list[fl
     key = F.col(value).cast("bigint") if whole else float_key(F.col(value).cast("double"))
     inner = [f"_g{i}" for i in range(len(groups))]  # no name of the caller's meets one of ours
     keyed = df.select(*[F.col(g).alias(x) for g, x in zip(groups, inner)], key.alias("_key"))
-    out = select_ranks(radix_histogram(keyed, inner, "_key", bits), inner, quantiles, bits)
+    # counted once; all digit passes read the counts
+    out = select_ranks(written(radix_histogram(keyed, inner, "_key", bits)), inner, quantiles, bits)
     return out.select(*[F.col(x).alias(g) for g, x in zip(groups, inner)], "q", "n", (F.col("key") if whole else key_float("key")).alias("value"))
