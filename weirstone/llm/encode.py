@@ -35,13 +35,31 @@ def _tokenizer(path: str):
     return t
 
 
+@lru_cache(maxsize=4)
+def byte_level(path: str) -> bool:
+    """Whether the file is of a plain byte-level BPE: no normalizer, the fixed pattern, no prefix, and no tokens with options of their own.
+
+    Only then do pieces of the pattern have the same ids wherever they stand.
+    """
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    before = t.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    model = t["model"]
+    return bool(
+        plain and t.get("normalizer") is None and t.get("post_processor") is None and t.get("truncation") is None and t.get("padding") is None
+        and model.get("type") == "BPE" and not model.get("dropout") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix")
+        and all(x.get("special") for x in t.get("added_tokens") or [])
+    )
+
+
 class PieceEncoder:
-    """Ids of texts, with a cache of pieces."""
+    """Ids of texts, with a cache of pieces. A tokenizer that isn't plain byte-level BPE takes each text as a whole."""
 
     def __init__(self, path: str):
         import regex
 
-        self.tok, self.split, self.cache = _tokenizer(path), regex.compile(PATTERN).findall, {}
+        self.tok, self.split, self.cache, self.pieces = _tokenizer(path), regex.compile(PATTERN).findall, {}, byte_level(path)
 
     def _learn(self, pieces) -> None:
         new = [p for p in set(pieces) if p not in self.cache]
@@ -55,7 +73,7 @@ class PieceEncoder:
         plain, whole = [], []
         for i, t in enumerate(texts):
             if t:
-                (whole if UNSURE.search(t) else plain).append(i)
+                (plain if self.pieces and not UNSURE.search(t) else whole).append(i)
         split = [self.split(texts[i]) for i in plain]
         self._learn(chain.from_iterable(split))
         get = self.cache.__getitem__
@@ -83,7 +101,7 @@ def _encode(path: str):
 def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
     """(``key``, ids) of every row: the ids of ``text`` by the tokenizer file at ``path``, without special tokens.
 
-    An empty list for an empty and for a null text; strings that look like special tokens are ordinary text; texts are encoded whole. Rows
+    Any file of the tokenizers library will do. An empty list for an empty and for a null text; strings that look like special tokens are ordinary text; texts are encoded whole. Rows
     are neither moved nor merged: repeated rows stay. An empty table gives no rows.
     """
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"))
@@ -101,7 +119,9 @@ def _byte_table() -> dict[str, int]:
 
 @lru_cache(maxsize=4)
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes of every id."""
+    """The bytes of every id of a plain byte-level BPE; other files are an error, since their tokens don't give the text back."""
+    if not byte_level(path):
+        raise ValueError(f"{path} is no plain byte-level BPE: its ids have no bytes to decode or to take offsets from")
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     table, out = _byte_table(), [b""] * (max(vocab.values()) + 1)
