@@ -65,3 +65,18 @@ def test_cache_limit(monkeypatch, tok):
     for _ in range(2):
         for t in TEXTS:
             assert enc.ids([t]) == [tok.encode(t, add_special_tokens=False).ids]
+
+
+def test_another_tokenizer_file(spark):
+    """Lower-casing BPE with word ends isn't split by the byte-level pattern: texts go through the library whole, and there is nothing to decode."""
+    from tokenizers import Tokenizer
+
+    path = os.path.join(os.path.dirname(PATH), "word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    texts = ["Hello  World's 123", "", None, "naïve café"]
+    got = {r.k: r.ids for r in encode.encode(spark.createDataFrame(list(enumerate(texts)), "k int, text string"), "k", "text", path).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids for i, x in enumerate(texts)}
+    assert encode.byte_level(PATH) and not encode.byte_level(path)
+    with pytest.raises(ValueError):
+        encode.token_bytes(path)

@@ -14,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstone.operators.ranks import places
+from weirstone.operators.ranks import places, ranges_for
+from weirstone.session import written
 
 
 def flows(placed: DataFrame, indifference: float, strict: float, ranges: int) -> DataFrame:
@@ -42,25 +43,26 @@ def flows(placed: DataFrame, indifference: float, strict: float, ranges: int) ->
     return wide.select("s", "v", "place", ((won - lost) / F.greatest(F.col("n") - 1, F.lit(1))).alias("flow"))
 
 
-def net_flow(df: DataFrame, key: str, scores: dict[str, float], indifference: float = 0.0, strict: float = 1.0, ranges: int = 64) -> DataFrame:
-    """(``key``, net_flow, n_scores, and place_i, flow_i and mean_place_i of the i-th score) of every item with a known score.
+def net_flow(df: DataFrame, key: str, scores: dict[str, float], indifference: float = 0.05, strict: float = 0.5, ranges: int | None = None) -> DataFrame:
+    """(``key``, net_flow, n_scores, and place_i, flow_i and least_i of the i-th score) of every item with a known score.
 
     ``scores`` gives each column's weight; ``strict`` must be over ``indifference``. A value is known if not null, NaN or infinite; an item's flow is
-    the weighted mean over its known scores, and an item without any has no row. ``key`` must be unique; rows where it is null are left out. Ties share a place. An empty table gives no rows.
+    the weighted mean over its known scores, and an item without any has no row. least_i is the least difference of flow and place that occurs in score i,
+    so that place + least_i is a lower bound of the flow. ``key`` must be unique; rows where it is null are left out. Ties share a place. An empty table gives no rows.
     """
     names = list(scores)
     each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).cast("double").alias("v")) for i, c in enumerate(names)]))
     long = df.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), each.alias("e")).select("k", "e.s", (F.col("e.v") + 0.0).alias("v"))
     long = long.filter(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") != float("inf")))
-    placed = places(long.select("s", "v"), ranges)
-    mean = placed.groupBy("s").agg((F.sum(F.col("c") * F.col("lower") / F.col("n")) / F.max("n")).alias("mean_place"))
-    value = flows(placed, indifference, strict, ranges).join(mean, "s")
+    placed = written(places(long.select("s", "v"), ranges))
+    value = written(flows(placed, indifference, strict, ranges or ranges_for(placed.count())))
+    least = value.groupBy("s").agg(F.min(F.col("flow") - F.col("place")).alias("least"))  # one row a score
     # a value held by a third of the rows makes a skewed join, which adaptive execution splits; the other side has one row for a value
-    found = long.join(value, ["s", "v"])
+    found = long.join(value.join(F.broadcast(least), "s"), ["s", "v"])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in scores.values()]), F.col("s") + 1)
     pick = lambda x, i: F.max(F.when(F.col("s") == i, F.col(x)))
     out = found.groupBy("k").agg(
         (F.sum(F.col("flow") * weight) / F.sum(weight)).alias("net_flow"), F.count("*").alias("n_scores"),
-        *[pick(x, i).alias(f"{x}_{i}") for i in range(len(names)) for x in ("place", "flow", "mean_place")],
+        *[pick(x, i).alias(f"{x}_{i}") for i in range(len(names)) for x in ("place", "flow", "least")],
     )
     return out.withColumnRenamed("k", key)

@@ -118,23 +118,35 @@ WITH l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY author ORDER
 """
 
 
+#: Places nearer than this are a tie; from STRICT on one account is preferred outright.
+INDIFFERENT, STRICT = 0.05, 0.5
+
+
 def _marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     latest = latest_rows(table(spark, sf_dir, "account_botmarkers"), "author", "computed_at", SCORES)
-    return fusion.net_flow(latest, "author", dict.fromkeys(SCORES, 1.0))
+    return fusion.net_flow(latest, "author", dict.fromkeys(SCORES, 1.0), INDIFFERENT, STRICT)
 
 
 @query(_MARKS_SQL + "SELECT author FROM p GROUP BY 1 HAVING count(*) = 3 AND avg(place) >= 0.78")
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With a linear preference a flow is (place - mean place) n / (n - 1), so a mean place of 0.78 is a bound on the net flow; the check on the places follows."""
+    """Accounts high enough in the outranking to be a case, then the check on their places.
+
+    A flow is at least its place plus the least difference of the two in that score, so a mean place of 0.78 needs a net flow of at least 0.78 plus the mean of these differences.
+    """
     r = _marks(spark, sf_dir).filter("n_scores = 3")
-    least = 0.78 - (F.col("mean_place_0") + F.col("mean_place_1") + F.col("mean_place_2")) / 3
-    return r.filter((F.col("net_flow") >= least - 1e-6) & ((F.col("place_0") + F.col("place_1") + F.col("place_2")) / 3 >= 0.78)).select("author")
+    bound = 0.78 + (F.col("least_0") + F.col("least_1") + F.col("least_2")) / 3
+    return r.filter((F.col("net_flow") >= bound - 1e-9) & ((F.col("place_0") + F.col("place_1") + F.col("place_2")) / 3 >= 0.78)).select("author")
+
 
+_PREFERENCE = f"least(1, greatest(0, ({{}} - {INDIFFERENT}) / ({STRICT} - {INDIFFERENT})))"
 
-@query(_MARKS_SQL + ", f AS (SELECT author, (place - avg(place) OVER (PARTITION BY s)) * n / greatest(n - 1, 1) AS flow FROM p) SELECT author, round(avg(flow), 9) AS net_flow, count(*) AS n_scores FROM f GROUP BY 1")
+
+@query(_MARKS_SQL + f""", d AS (SELECT s, place, max(n) AS n, count(*) AS c FROM p GROUP BY 1, 2),
+     g AS (SELECT x.s, x.place, sum(y.c * ({_PREFERENCE.format('x.place - y.place')} - {_PREFERENCE.format('y.place - x.place')})) / greatest(max(x.n) - 1, 1) AS flow FROM d x JOIN d y ON x.s = y.s GROUP BY 1, 2)
+SELECT author, round(avg(flow), 9) + 0.0 AS net_flow, count(*) AS n_scores FROM p JOIN g USING (s, place) GROUP BY 1""")
 def p4_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net flow of every account; the ranking is its descending order, then the name."""
-    return _marks(spark, sf_dir).select("author", F.round("net_flow", 9).alias("net_flow"), "n_scores")
+    """Net flow of every account; the ranking is its descending order, then the name. The SQL compares all pairs of places, so it's for small tables."""
+    return _marks(spark, sf_dir).select("author", (F.round("net_flow", 9) + 0.0).alias("net_flow"), "n_scores")
 
 
 # 5 ---------------------------------------------------------------------------
@@ -212,6 +224,19 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+@query(r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+     i AS (SELECT item_id, ws, least(13, len(ws)) AS k FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS ws FROM eval_items WHERE text IS NOT NULL) WHERE len(ws) > 0),
+     q AS (SELECT item_id, k, j, array_to_string(ws[j : j + k - 1], ' ') AS g FROM (SELECT item_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS j FROM i)),
+     c AS (SELECT doc_id, k, p, array_to_string(ws[p : p + k - 1], ' ') AS g FROM (SELECT doc_id, k, ws, unnest(range(1, len(ws) - k + 2)) AS p FROM w, (SELECT DISTINCT k FROM i))),
+     h AS (SELECT doc_id, item_id, k, p, p - j AS diagonal, p - row_number() OVER (PARTITION BY doc_id, item_id, p - j ORDER BY p) AS island FROM q JOIN c USING (k, g)),
+     m AS (SELECT doc_id, item_id, count(*) + max(k) - 1 AS n_words, min(p) - 1 AS place FROM h GROUP BY doc_id, item_id, diagonal, island)
+SELECT doc_id, item_id, n_words, place FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_words DESC, place) = 1""")
+def p9_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest verbatim match of each document and item, and its place."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id", "n_words", F.col("at").alias("place"))
+
+
 @query(_GRAMS_SQL + "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM q JOIN c USING (k, g))")
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that are left when those with leaks are removed."""
