@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirstone.operators import ranks
+from weirstone.session import written
 
 
 def months(spark: SparkSession, first: str, last: str) -> DataFrame:
@@ -24,6 +25,47 @@ def strata(df: DataFrame, value: str, k: int = 10, name: str = "stratum") -> Dat
     return df.join(F.broadcast(edges)).withColumn(name, F.when(v.isNotNull(), F.size(F.filter("_e", lambda e: e < v)))).drop("_e")
 
 
+def equal_strata(df: DataFrame, key: str, value: str, k: int, name: str = "stratum") -> DataFrame:
+    """Adds the stratum from 1 to ``k`` of equally many rows in the order of value and key, the first ones larger by one where they don't divide.
+
+    The order is cut into ranges and the ranges' totals are added, so no task sees all rows.
+    """
+    rows = df.filter(F.col(value).isNotNull())
+    part = written(rows.repartitionByRange(ranks.ranges_for(rows.count()), value, key).withColumn("_part", F.spark_partition_id()))
+    totals = part.groupBy("_part").agg(F.count("*").alias("_k"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    totals = totals.select("_part", F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_base"), F.sum("_k").over(Window.partitionBy()).alias("_n"))
+    at = F.col("_base") + F.row_number().over(Window.partitionBy("_part").orderBy(value, key)) - 1
+    j = part.join(F.broadcast(totals), "_part").withColumn("_at", at)
+    size, more = F.floor(F.col("_n") / k), F.col("_n") % k
+    head = more * (size + 1)
+    stratum = F.when(F.col("_at") < head, F.floor(F.col("_at") / (size + 1))).otherwise(more + F.floor(F.try_divide(F.col("_at") - head, size)))
+    return j.withColumn(name, (stratum + 1).cast("bigint")).drop("_part", "_base", "_n", "_at")
+
+
+def hurdles(df: DataFrame, cols: list[str], share: float = 0.25) -> DataFrame:
+    """Adds ``c_hurdle`` for each column: whether a value is known and not the most frequent one, where that holds ``share`` of the known values or more; else null."""
+    out = df
+    for c in cols:
+        k = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_k"))
+        mode = k.agg(F.max_by(c, F.struct("_k", (-F.col(c)).alias("_m"))).alias("_mode"), (F.max("_k") / F.sum("_k")).alias("_share"))  # one row
+        held = F.when(F.col("_share") >= share, F.coalesce(F.col(c) != F.col("_mode"), F.lit(False)))
+        out = out.join(F.broadcast(mode)).withColumn(f"{c}_hurdle", held).drop("_mode", "_share")
+    return out
+
+
+def valley(df: DataFrame, value: str, ends: DataFrame, points: int = 50) -> DataFrame:
+    """(ratio): the least density on a grid between ``lo`` and ``hi`` of the one-row ``ends``, over the lower of the densities at both."""
+    k = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("w"))
+    m = df.agg((F.stddev_samp(value) * F.pow(F.count(value).cast("double"), F.lit(-0.2))).alias("h"))
+    i = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points - 1))).alias("i", "g")
+    grid = ends.join(F.broadcast(m)).select("h", i)
+    z = (F.col("g") - F.col("v")) / F.col("h")
+    d = k.join(F.broadcast(grid)).groupBy("i").agg(F.sum(F.col("w") * F.exp(-z * z / 2)).alias("d"))  # a grid of ``points`` rows
+    at = lambda n: F.max(F.when(F.col("i") == n, F.col("d")))
+    return d.agg(F.try_divide(F.min("d"), F.least(at(0), at(points - 1))).alias("ratio"))
+
+
 def cross_table(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:
     """Counts with 0 where nothing is."""
     return df.groupBy(row).pivot(column, values).count().fillna(0, subset=values)

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirstone.operators.accounts import rate
 
-#: Words that are left out of word counts.
-STOPWORDS = (
-    "i me my we our you your he him his she her it its they them their what which who this that these those am is are was were be been have has had do does did will "
-    "would could should may might the a an and but or for so of at by with about to from in on out over not no all each more most other some only just now also"
-).split()
+
+@lru_cache(maxsize=1)
+def stop_words() -> tuple[str, ...]:
+    """The English stop words that Spark's own StopWordsRemover comes with (the Glasgow Information Retrieval Group's list), read from Spark's files."""
+    import glob
+    import os
+    import zipfile
+
+    import pyspark
+
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    for jar in glob.glob(os.path.join(home, "jars", "spark-mllib_*.jar")):
+        with zipfile.ZipFile(jar) as z:
+            return tuple(z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split())
+    from pyspark.ml.feature import StopWordsRemover  # needs a running session
+
+    return tuple(StopWordsRemover.loadDefaultStopWords("english"))
 
 
 def normal(text: Column) -> Column:
@@ -21,7 +35,7 @@ def normal(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Words of three letters or more that are no stop words or numbers."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS) & ~F.rlike(w, F.lit("^[0-9]+$")))
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop_words()) & ~F.rlike(w, F.lit("^[0-9]+$")))
 
 
 def repeated_bodies(c: DataFrame, least: int = 10) -> DataFrame:

@@ -1,8 +1,8 @@
 """All queries of the core, with their SQL."""
 
-from weirstone.plans import accounts, core, modelling, monthly, research
+from weirstone.plans import accounts, core, modelling, monthly, overall, research, selection, threads
 
-_PARTS = [accounts.query, monthly.query, research.query, modelling.query]
+_PARTS = [accounts.query, monthly.query, research.query, modelling.query, threads.query, overall.query, selection.query]
 QUERIES, SQL = {**core.QUERIES}, {**core.SQL}
 for _p in _PARTS:
     QUERIES |= _p.queries

@@ -184,7 +184,7 @@ def url_rate(spark, d):
     return X.link_rate(comments(spark, d))
 
 
-_WORDS = "unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ") AND NOT regexp_full_match(w, '[0-9]+')))"
+_WORDS = "unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN (" + ", ".join("'" + w.replace("'", "''") + "'" for w in X.stop_words()) + ") AND NOT regexp_full_match(w, '[0-9]+')))"
 
 
 @query(with_views(f", w AS (SELECT sub, month, {_WORDS} AS word FROM c) SELECT month, word, count(DISTINCT sub) AS subs, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT sub) >= 4"))
