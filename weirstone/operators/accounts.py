@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from weirstone.functions import metrics as M
 
 
+#: The columns of cleaned comments that the features below read.
+COLUMNS = [
+    "author", "sub", "month", "post_id", "score", "ts", "controversiality", "is_submitter", "depth", "body_len", "meta_removal_type", "meta_was_deleted_later", "ordinal", "is_seed",
+]
+
+
 def rate(cond) -> F.Column:
     """Share of rows where the condition holds; null counts as not."""
     return F.avg(F.when(cond, 1.0).otherwise(0.0))

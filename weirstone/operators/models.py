@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import math
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +13,10 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weirstone.operators import stats
+from weirstone.operators import ranks, screening, stats
 
 
 def balanced(df: DataFrame, label: str) -> DataFrame:
@@ -61,20 +60,64 @@ def score(df: DataFrame, model: PipelineModel, key: str, activity: str | None =
     return model.transform(_doubles(rows, model)).select(key, vector_to_array("probability")[1].alias("score"))
 
 
+def _path(spark: SparkSession, path: str):
+    """(file system, path): any that Hadoop knows, local ones included."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file; never over another."""
+    fs, p = _path(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    fs, p = _path(spark, path)
+    if not fs.exists(p):
+        raise FileNotFoundError(path)
+    return "\n".join(r.value for r in spark.read.text(path).collect())  # one small file
+
+
 def pin(model: PipelineModel, path: str, meta: dict) -> None:
     """Writes the model and its description; never over another."""
     model.save(path)
-    with open(os.path.join(path, "meta.json"), "w") as f:
-        json.dump(meta, f)
+    write_text(SparkSession.active(), f"{path}/meta.json", json.dumps(meta))
 
 
 def load_pinned(path: str) -> PipelineModel:
     """The pinned model; an error if there is none, never an implicit training."""
-    if not os.path.isdir(path):
+    fs, p = _path(SparkSession.active(), path)
+    if not fs.exists(p):
         raise FileNotFoundError(f"no pinned model at {path}")
     return PipelineModel.load(path)
 
 
+def pin_linear(spark: SparkSession, path: str, spec: dict) -> None:
+    """Writes a logistic model's description: version, features, coefficients, intercept and the medians that stand for nulls. Never over another."""
+    if set(spec["medians"]) != set(spec["features"]) or len(spec["coefficients"]) != len(spec["features"]):
+        raise ValueError("every feature needs a coefficient and a median")
+    write_text(spark, path, json.dumps(spec))
+
+
+def load_linear(spark: SparkSession, path: str) -> dict:
+    """The pinned description; an error if there is none."""
+    return json.loads(read_text(spark, path))
+
+
+def score_linear(df: DataFrame, spec: dict, key: str) -> DataFrame:
+    """(key, score): the logistic of the pinned linear form. A feature that isn't a column is an error; null values take the pinned medians."""
+    missing = [f for f in spec["features"] if f not in df.columns]
+    if missing:
+        raise ValueError(f"the model needs columns that aren't there: {missing}")
+    form = F.lit(float(spec["intercept"]))
+    for f, c in zip(spec["features"], spec["coefficients"]):
+        form = form + F.coalesce(F.col(f).cast("double"), F.lit(float(spec["medians"][f]))) * float(c)
+    return df.select(key, (1 / (1 + F.exp(-form))).alias("score"))
+
+
 def cross_validated(df: DataFrame, pipeline: Pipeline, key: str, label: str, k: int = 3) -> DataFrame:
     """(auc, n_pos, n_neg) of out-of-fold scores, folds by a hash of the key."""
     parts = stats.folds(df.filter(F.col(label).isNotNull()), key, k)
@@ -85,15 +128,16 @@ def cross_validated(df: DataFrame, pipeline: Pipeline, key: str, label: str, k:
     return stats.auc(out.join(df.select(key, label), key), key, label, "score")
 
 
-def permutation_floor(df: DataFrame, key: str, label: str, value: str, seed: int = 1) -> DataFrame:
-    """AUC of the score against labels shuffled by two independent hashes of the key."""
-    from pyspark.sql import Window
+def permutation_floor(df: DataFrame, key: str, label: str, value: str, volume: str, strata: int = 10, seed: int = 1) -> DataFrame:
+    """AUC of the score against labels shuffled within strata of equal volume: what volume alone would give.
 
-    a = df.select(key, label, value).dropna()
-    order = lambda s: F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(F.lit(0), key), F.lit(64))).orderBy(F.xxhash64(F.lit(s), F.col(key)), key))
-    slot = F.pmod(F.xxhash64(F.lit(0), key), F.lit(64)).alias("slot")
-    one, two = a.select(key, value, slot, order(seed).alias("i")), a.select(label, slot, order(seed + 1).alias("i"))
-    return stats.auc(one.join(two, ["slot", "i"]), key, label, value)
+    A row's score meets the label that has its place in another hash order of the same stratum.
+    """
+    a = screening.equal_strata(df.select(key, label, value, volume).dropna(), key, volume, strata, "_s")
+    order = lambda s: F.row_number().over(Window.partitionBy("_s").orderBy(stats.hash_order(key, s), key))
+    a = a.withColumns({"_i": order(seed), "_j": order(seed + 1)})
+    two = a.select("_s", F.col("_j").alias("_i"), F.col(label).alias("_label"))
+    return stats.auc(a.select(key, value, "_s", "_i").join(two, ["_s", "_i"]), key, "_label", value)
 
 
 def principal_components(df: DataFrame, key: str, features: list[str], k: int) -> tuple[DataFrame, list[float]]:
@@ -254,16 +298,34 @@ def correlation_kept(matrix: dict[tuple[str, str], float], names: list[str], lim
         keep.remove(a if mean(a) >= mean(b) else b)
 
 
+def hypergeometric_tail(k: int, a: int, b: int, m: int) -> float:
+    """P(X >= k) for X shared of a and b among m: the first term by log gammas, the next ones by their ratios, until they add nothing."""
+    lo, hi = max(k, a + b - m, 0), min(a, b)
+    if lo > hi:
+        return 0.0
+    g = math.lgamma
+    choose = lambda n, x: g(n + 1) - g(x + 1) - g(n - x + 1)
+    term = math.exp(choose(a, lo) + choose(m - a, b - lo) - choose(m, b))
+    total, x = term, lo
+    while x < hi:
+        y = np.arange(x, min(hi, x + 256), dtype=float)
+        terms = term * np.cumprod((a - y) * (b - y) / ((y + 1) * (m - a - b + y + 1)))
+        total += float(terms.sum())
+        x, term = x + len(y), float(terms[-1])
+        if x > a * b / m and term < 1e-18 * total:
+            break
+    return min(total, 1.0)
+
+
 def log_hypergeometric_tail(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """P(X >= n) for n shared of d1 and d2 among t, by log gammas."""
-    lg = np.vectorize(math.lgamma)
-    choose = lambda a, b: lg(a + 1) - lg(b + 1) - lg(a - b + 1)
-    for n, d1, d2, t in batches:
-        out = []
-        for k, a, b, m in zip(n, d1, d2, t):
-            x = np.arange(max(k, a + b - m, 0), min(a, b) + 1, dtype=float)
-            out.append(float(np.exp(choose(a, x) + choose(m - a, b - x) - choose(m, b)).sum()) if len(x) else 0.0)
-        yield pd.Series(out)
+    """The tails of a batch; equal arguments are worked out once."""
+    known: dict = {}
+    for columns in batches:
+        keys = list(zip(*(c.astype(int).tolist() for c in columns)))
+        known |= {x: hypergeometric_tail(*x) for x in set(keys) - known.keys()}
+        yield pd.Series([known[x] for x in keys])
+        if len(known) > 500_000:
+            known.clear()
 
 
 def with_tail(edges: DataFrame) -> DataFrame:
@@ -277,9 +339,9 @@ def with_tail(edges: DataFrame) -> DataFrame:
 
 def anomaly_scores(df: DataFrame, key: str, features: list[str]) -> DataFrame:
     """(key, anomaly): root mean square of robust z-scores. It stands where an isolation forest would, which Spark doesn't have."""
-    mid = df.agg(*[F.median(f).alias(f"m_{f}") for f in features])
+    mid = ranks.medians(df, features, "m_")
     away = df.join(F.broadcast(mid)).select(key, *[(F.col(f) - F.col(f"m_{f}")).alias(f) for f in features])
-    mad = away.agg(*[F.median(F.abs(f)).alias(f"d_{f}") for f in features])
+    mad = ranks.medians(away.select(*[F.abs(f).alias(f) for f in features]), features, "d_")
     z = [F.coalesce(F.try_divide(F.col(f), 1.4826 * F.col(f"d_{f}")), F.lit(0.0)) for f in features]
     return away.join(F.broadcast(mad)).select(key, F.sqrt(sum((x * x for x in z), F.lit(0.0)) / len(features)).alias("anomaly"))
 

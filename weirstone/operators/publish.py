@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
-
 
 
 def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    """The Parquet table at ``path``, or None if nothing is there. A table that is there and can't be read is an error."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.read.parquet(path) if there else None
 
 
 def frozen_bands(spark: SparkSession, path: str, cells: DataFrame, value: str, version: str) -> DataFrame:
@@ -37,6 +35,12 @@ def severity(cells: DataFrame, bands: DataFrame, value: str) -> DataFrame:
     return cells.join(b, "role", "left").withColumn("severity", s).drop("moderate", "high", "critical")
 
 
+def role_blocks(cells: DataFrame, value: str) -> DataFrame:
+    """Cells without a value count no accounts and have no severity."""
+    none = F.col(value).isNull()
+    return cells.withColumns({"n": F.when(none, 0).otherwise(F.col("n")), "severity": F.when(~none, F.col("severity"))})
+
+
 def publish(spark: SparkSession, path: str, cells: DataFrame, series: str, on: str) -> int:
     """Appends the months of ``cells`` that the series hasn't published; gives their number. Published months are never rewritten."""
     fresh = cells.filter(F.col("month").isNotNull())
@@ -72,7 +76,7 @@ def inconsistencies(published: DataFrame, bands: DataFrame, value: str) -> DataF
     again = severity(published.drop("severity"), bands, value).select("series", "month", "sub", "role", F.col("severity").alias("due"))
     key = ["series", "month", "sub", "role"]
     j = published.join(again.distinct(), key)
-    why = F.when(~F.col("severity").eqNullSafe(F.col("due")), "severity").when(~F.col(value).between(0, 100), "range").when(F.col("n_scored") > F.col("n"), "scored")
+    why = F.when(~F.col("severity").eqNullSafe(F.col("due")), "severity").when(~F.col(value).between(0, 100), "range").when(F.col(value).isNotNull() & (F.col("n_scored") > F.col("n")), "scored")
     one = j.select(*key, why.alias("why")).filter("why IS NOT NULL")
     two = published.groupBy(*key).agg(F.count("*").alias("k")).filter("k > 1").select(*key, F.lit("repeated").alias("why"))
     return one.unionByName(two)

@@ -46,3 +46,32 @@ def percent_rank() -> Column:
 def average_rank() -> Column:
     """Rank from 1 with ties at their mean."""
     return F.col("lower") + (F.col("c") + 1) / 2
+
+
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """(s, q, v): exact interpolated quantiles of the columns, s being the column's number. Nulls are no values; a column without any has no rows.
+
+    The values are ranked by :func:`places`, so none of it needs all distinct values in one task, as a percentile aggregate does; the two values around each
+    rank are picked out of the ranked table.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]))
+    p = places(df.select(each.alias("e")).select("e.s", "e.v").filter(F.col("v").isNotNull()))
+    ask = F.explode(F.array(*[F.lit(float(q)) for q in shares]))
+    p = p.select("s", "v", "c", "lower", "n", ask.alias("q")).withColumn("at", (F.col("n") - 1) * F.col("q"))
+    holds = lambda r: F.when((F.col("lower") <= r) & (r < F.col("lower") + F.col("c")), F.col("v"))
+    near = p.filter((F.col("lower") <= F.ceil("at")) & (F.floor("at") < F.col("lower") + F.col("c")))
+    ends = near.groupBy("s", "q").agg(F.max(holds(F.floor("at"))).alias("a"), F.max(holds(F.ceil("at"))).alias("b"), F.max("at").alias("at"))
+    part = F.col("at") - F.floor("at")
+    return ends.select("s", "q", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part).alias("v"))
+
+
+def quantile_row(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
+    """One row with a column for each share, named by the keys."""
+    q = quantiles(df, [column], list(shares.values()))
+    return q.agg(*[F.max(F.when(F.col("q") == x, F.col("v"))).alias(name) for name, x in shares.items()])
+
+
+def medians(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
+    """One row with the median of each column, named prefix and column."""
+    q = quantiles(df, columns, [0.5])
+    return q.agg(*[F.max(F.when(F.col("s") == i, F.col("v"))).alias(f"{prefix}{c}") for i, c in enumerate(columns)])

@@ -20,7 +20,8 @@ def months(spark: SparkSession, first: str, last: str) -> DataFrame:
 
 def strata(df: DataFrame, value: str, k: int = 10, name: str = "stratum") -> DataFrame:
     """Adds the value's quantile stratum from 0; equal values stay together, and equal edges are merged."""
-    edges = df.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / k) for i in range(1, k)]))).alias("_e"))  # one row
+    q = ranks.quantiles(df, [value], [i / k for i in range(1, k)])
+    edges = q.agg(F.array_sort(F.collect_set("v")).alias("_e"))  # k - 1 values
     v = F.col(value)
     return df.join(F.broadcast(edges)).withColumn(name, F.when(v.isNotNull(), F.size(F.filter("_e", lambda e: e < v)))).drop("_e")
 

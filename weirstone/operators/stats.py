@@ -45,7 +45,7 @@ def kruskal(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
 def clipped_histogram(df: DataFrame, value: str, bins: int = 28, low: float = 0.01, high: float = 0.99, shade: str | None = None, least: int = 20) -> DataFrame:
     """(bin, n[, mean]) over equal bins between two percentiles, the last bin closed; values beyond stand in the outer bins. A bin's mean of ``shade`` is null below ``least`` rows."""
     v = df.filter(F.col(value).isNotNull())
-    ends = v.agg(F.percentile(value, F.lit(low)).alias("lo"), F.percentile(value, F.lit(high)).alias("hi"))
+    ends = ranks.quantile_row(v, value, {"lo": low, "hi": high})
     width = F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))
     at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(F.floor((F.col(value) - F.col("lo")) / width), F.lit(0)))).cast("int")
     g = v.join(F.broadcast(ends)).withColumn("bin", at).groupBy("bin")

@@ -8,6 +8,7 @@ from weirstone.functions import metrics as M
 from weirstone.operators import accounts as A
 from weirstone.operators import ranks
 from weirstone.plans.base import Registry, all_posts, comments, posts, raw_comments, with_views
+from weirstone.session import written
 from weirstone.sources.tables import SENTINELS, canonical_sub, latest_rows, table
 
 query = Registry()
@@ -97,9 +98,20 @@ def author_timing(spark, d):
     return A.timing(comments(spark, d), "author", "ts")
 
 
-@query()
+_ORDINAL = """SELECT author, max(CASE WHEN starts_with(author_fullname, 't2_') AND regexp_full_match(substr(author_fullname, 4), '[0-9A-Za-z]{1,12}')
+ THEN list_reduce(list_transform(string_split(lower(substr(author_fullname, 4)), ''), lambda x: (strpos('0123456789abcdefghijklmnopqrstuvwxyz', x) - 1)::HUGEINT), lambda a, b: a * 36 + b)::BIGINT END) AS ordinal FROM c GROUP BY 1"""
+_PARTS = ["account_posts", "repeat_engagement", "own_post_replies", "silo_pattern", "tier_footprint", "username_shape", "author_timing"]
+_FEATURES = "WITH " + ", ".join([f"x0 AS ({with_views(_STATS)})", f"o AS ({with_views(_ORDINAL)})", f"en AS (SELECT author, entropy AS sub_entropy FROM ({query.sql['sub_entropy']}))"] + [f"x{i + 1} AS ({query.sql[n] if n != 'author_timing' else _TIMING})" for i, n in enumerate(_PARTS)])
+_FEATURES += ", j AS (SELECT * FROM x0 LEFT JOIN o USING (author) LEFT JOIN en USING (author) " + " ".join(f"LEFT JOIN x{i + 1} USING (author)" for i in range(len(_PARTS))) + ")"
+_SPAN = "greatest((last_seen - first_seen) / 86400, 0)"
+
+
+@query(_FEATURES + f""" SELECT * REPLACE (coalesce(n_posts, 0) AS n_posts), {_SPAN} AS span_days, n_comments / greatest({_SPAN}, 1) AS comments_per_day, mean_score * n_comments / greatest({_SPAN}, 1) AS score_per_day,
+ coalesce(n_low_subs, 0) = 0 AS hobby_absence FROM j""")
 def account_features(spark, d):
-    return A.features(comments(spark, d), posts(spark, d), all_posts(spark, d))
+    """All features of an account in one row. The cleaned comments are written once, without their texts, since nine branches read them."""
+    c = written(comments(spark, d).select(*A.COLUMNS))
+    return A.features(c, posts(spark, d), all_posts(spark, d))
 
 
 MARKS = ["removal_rate", "deleted_later_rate", "thin_history_raw", "karma_extremeness_raw", "karma_per_post_extremeness_raw", "reception_spread"]
@@ -133,9 +145,9 @@ SELECT author, abs(mean_score - m) / nullif(mad, 0) AS extremeness FROM s, m, q"
 def mad_extremeness(spark, d):
     """Distance from the median in median absolute deviations."""
     s = A.comment_stats(comments(spark, d)).select("author", "mean_score")
-    m = s.agg(F.median("mean_score").alias("m"))  # one row
+    m = ranks.quantile_row(s, "mean_score", {"m": 0.5})
     away = s.join(F.broadcast(m)).select("author", F.abs(F.col("mean_score") - F.col("m")).alias("away"))
-    mad = away.agg(F.median("away").alias("mad"))
+    mad = ranks.quantile_row(away, "away", {"mad": 0.5})
     return away.join(F.broadcast(mad)).select("author", F.try_divide("away", "mad").alias("extremeness"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weirstone.operators import accounts as A
 from weirstone.operators import prevalence as P
+from weirstone.operators import ranks
 from weirstone.plans.base import Registry, all_posts, comments, posts, with_views
 
 query = Registry()
@@ -113,13 +114,6 @@ def movers(spark, d):
     return P.top_per_group(m, ["month"], [F.desc("v"), F.col("sub")], 5, "topper").withColumn("topper", F.col("topper").cast("bigint"))
 
 
-@query(with_views(_ROLES + "SELECT month, avg(pct_high_risk) FILTER (WHERE role = 'combined') AS avg_score, avg(pct_high_risk) FILTER (WHERE role = 'poster') AS poster_avg, avg(pct_high_risk) FILTER (WHERE role = 'commenter') AS commenter_avg, count(*) FILTER (WHERE role = 'combined' AND pct_high_risk >= 14.63) AS n_high FROM pv GROUP BY 1"))
-def published_history(spark, d):
-    at = lambda r: F.avg(F.when(F.col("role") == r, F.col("pct_high_risk")))
-    high = F.count_if((F.col("role") == "combined") & (F.col("pct_high_risk") >= BANDS["high"]))
-    return roles(spark, d).groupBy("month").agg(at("combined").alias("avg_score"), at("poster").alias("poster_avg"), at("commenter").alias("commenter_avg"), high.alias("n_high"))
-
-
 @query(with_views("SELECT sub, month, avg(CASE WHEN meta_was_deleted_later THEN 1.0::DOUBLE ELSE 0 END) AS rate, count(*) AS n FROM c GROUP BY 1, 2"))
 def self_delete_rate(spark, d):
     return comments(spark, d).groupBy("sub", "month").agg(A.rate(F.col("meta_was_deleted_later")).alias("rate"), F.count("*").alias("n"))
@@ -161,7 +155,7 @@ def month_relative_high_risk(spark, d):
     s = scores(spark, d)
     m = comments(spark, d).filter("month IS NOT NULL").select("author", "month").distinct().join(s, "author")
     q = m.groupBy("month").agg(F.count("*").alias("n"), F.percentile("score", F.lit(0.9)).alias("p90"))
-    g = s.agg(F.percentile("score", F.lit(0.9)).alias("all90"))
+    g = ranks.quantile_row(s, "score", {"all90": 0.9})
     limit = F.when(F.col("n") >= 10, F.col("p90")).otherwise(F.col("all90"))
     return m.join(q, "month").join(F.broadcast(g)).select("month", "author", (F.col("score") >= limit).alias("high_risk"))
 

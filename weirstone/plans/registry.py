@@ -1,10 +1,10 @@
 """All queries of the core, with their SQL."""
 
-from weirstone.plans import accounts, core, modelling, monthly, overall, research, selection, threads
+from weirstone.plans import accounts, core, modelling, monthly, overall, publishing, research, selection, threads
 
-_PARTS = [accounts.query, monthly.query, research.query, modelling.query, threads.query, overall.query, selection.query]
+_PARTS = [accounts.query, monthly.query, research.query, modelling.query, threads.query, overall.query, publishing.query, selection.query]
 QUERIES, SQL = {**core.QUERIES}, {**core.SQL}
 for _p in _PARTS:
     QUERIES |= _p.queries
     SQL |= _p.sql
-FLAGSHIP = monthly.prevalence_by_role
+FLAGSHIP = publishing.prevalence_pinned

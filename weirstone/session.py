@@ -58,6 +58,11 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_path(spark: SparkSession, name: str = "table") -> str:
+    """A path of its own in the shared folder."""
+    return f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def drop_written(spark: SparkSession) -> int:
     """Removes the tables that :func:`written` left in this session's folder, once their results have been used; gives their number."""
     sc = spark.sparkContext
