@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weirstone.session import written
+
 
 def cooccurrence(df: DataFrame, item: str, basket: str, scope: str, min_n: int = 1, min_lift: float = 0.0, hot: int = 512) -> DataFrame:
     """Pairs (``scope``, a1, a2, n, d1, d2, t, lift, conviction), a1 < a2, of items that share n >= ``min_n`` baskets of one scope.
@@ -27,7 +29,7 @@ def cooccurrence(df: DataFrame, item: str, basket: str, scope: str, min_n: int =
     total = m.select("s", "p").distinct().groupBy("s").agg(F.count("*").alias("t"))
     degree = m.groupBy("s", "x").agg(F.count("*").alias("d")).join(total, "s")
     degree = degree.filter((F.col("d") >= min_n) & (F.col("d") * min_lift <= F.col("t")))
-    act = m.join(degree, ["s", "x"])
+    act = written(m.join(degree, ["s", "x"]))  # read by every branch below
 
     size = act.groupBy("s", "p").agg(F.count("*").alias("k"))
     big = size.filter(F.col("k") > hot)
