@@ -250,7 +250,16 @@ def _near(spark: SparkSession, sf_dir: str) -> neardups.NearDuplicates:
     return neardups.NearDuplicates(c, "comment_id", "author", "body", 7, 10, 20)
 
 
-@query()
+@query(r"""
+WITH x AS (SELECT DISTINCT comment_id, author, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(body), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> ''))) AS ws
+           FROM commenters WHERE comment_id IS NOT NULL AND author IS NOT NULL AND author <> '[deleted]' AND body IS NOT NULL),
+     s AS (SELECT row_number() OVER () AS k, ws, len(ws) AS n FROM (SELECT DISTINCT ws FROM x WHERE len(ws) >= 20)),
+     w AS (SELECT k, n, unnest(ws) AS w FROM s),
+     p AS (SELECT a.k AS i, b.k AS j FROM w a JOIN w b ON a.w = b.w AND a.k < b.k AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n) GROUP BY 1, 2 HAVING 10 * count(*) >= 7 * (max(a.n) + max(b.n) - count(*))),
+     m AS (SELECT comment_id, author, k FROM x JOIN s USING (ws)),
+     l AS (SELECT i, j FROM p UNION ALL SELECT k, k FROM s)
+SELECT DISTINCT least(a.comment_id, b.comment_id) AS comment_id_a, greatest(a.comment_id, b.comment_id) AS comment_id_b
+FROM l JOIN m a ON a.k = l.i JOIN m b ON b.k = l.j WHERE a.author <> b.author AND a.comment_id <> b.comment_id""")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _near(spark, sf_dir).pairs().select(F.col("a").alias("comment_id_a"), F.col("b").alias("comment_id_b"))
 
