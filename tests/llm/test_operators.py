@@ -193,6 +193,30 @@ def test_near_duplicates_of_long_texts(spark):
     assert got == want and len(want) > 45
 
 
+def test_entries_of_a_fixed_vocabulary_grow_with_the_records_only():
+    """Ten times the records over the same words give ten times the entries, and cells parted by further words the same pairs as whole ones; both hold against all pairs."""
+    import numpy as np
+
+    rnd = np.random.default_rng(2)
+    weight = 1.0 / np.arange(4, 64)
+    base = [rnd.choice(60, rnd.integers(1, 30), replace=False, p=weight / weight.sum()) for _ in range(1500)]
+    base += [np.unique(np.append(b[: len(b) - k], rnd.integers(0, 60, k))) for b in base[:300] for k in (1, 2)]
+    sets = list({frozenset(b.tolist()) for b in base})
+    codes = np.sort(rnd.integers(-(2**63), 2**63 - 1, 60))
+    lists = [np.sort(codes[list(x)]) for x in sets]
+    sizes, short = np.array([len(x) for x in lists]), np.arange(len(lists)).astype(np.uint64)
+    held = Counter(c for x in lists for c in x.tolist())
+    want = {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if 10 * len(sets[i] & sets[j]) >= 7 * len(sets[i] | sets[j])}
+    volume = {}
+    for times in (1, 100):  # as many records hold each word
+        order = neardups.Order([(c, n * times) for c, n in held.most_common()], neardups.BLOCK)
+        e, cell, further = neardups.entries(short, sizes, np.concatenate(lists), order, 7, 10, 0)
+        volume[times] = len(e), len(further)
+    assert volume[1] == volume[100] and volume[1][0] == sum(n - -(-7 * n // 10) + 1 for n in sizes.tolist())
+    got = {x: {tuple(p) for p in neardups.candidates(e, further, 7, 10, x).tolist()} for x in (0, 500, 10**9)}
+    assert len(want) > 100 and all(want <= p for p in got.values())
+
+
 def test_ring_loses_no_pair_within_the_budget_and_is_no_plain_distance_check():
     import numpy as np
 
