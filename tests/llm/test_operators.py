@@ -383,6 +383,23 @@ def test_skip_edges_find_a_name_without_a_cue(field):
     assert len(field.spans(names.Runs([both], field.rates), skips=False)) == 1
 
 
+@pytest.mark.parametrize("held", [0, 10**9])
+def test_names_are_fitted_to_all_texts(spark, monkeypatch, held):
+    """20,400 texts of which only a few, one of them of over 100,000 characters, teach anything: the field is that of all of them, whether the driver holds the runs or not."""
+    import numpy as np
+
+    monkeypatch.setattr(personal, "HELD", held)
+    monkeypatch.setattr(names, "ROUNDS", 1)
+    texts = [f"plain line {i} of the minutes" for i in range(20_000)] + [f"Old Harbour Road {i} and the mill" for i in range(200)] + [f"My name is Ravi Sund{x} and I sell" for x in "abcdefgh" * 24]
+    texts += ["filler words " * 9000 + "Kind regards,\nQuoma Zellburg"] * 8
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string").repartition(6)
+    got, want = personal.fit_names(df, "id", "text"), names.fit(texts, [[(n.start, n.end) for n in personal.decide(personal.candidates(t))] if len(t) < 200 else [] for t in texts])
+    assert np.allclose(got.w, want.w, atol=1e-3) and np.allclose(got.t, want.t, atol=1e-3) and math.isclose(got.skip, want.skip)
+    assert {k: v for k, v in want.rates.items() if v != (0, 0) and k in got.rates} == got.rates
+    word = 1 + (names.zlib.crc32(b"wzellburg") & ((1 << names.BITS) - 2))
+    assert got.w[word].any()  # from the long texts alone
+
+
 def test_beliefs_of_chains_are_exact(field):
     """Forward and backward sums against all labellings of a run."""
     import numpy as np

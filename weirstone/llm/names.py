@@ -5,22 +5,25 @@ I (it goes on). A token's potential adds the weights of its features: the word,
 edges join neighbours in a run, by what parts them. Skip edges join tokens of a text that are the same word, whatever their distance, and draw them to the same answer to whether they belong
 to a name, so that a name without any cue is found if it stands with one elsewhere.
 
-Fitting. No table holds labels, so the weights are fitted to a bounded sample of the texts themselves (``SAMPLE`` documents at most, those with the least hash of their id), labelled by public patterns: a
-title, an introduction or a closing before two or three capitalised words speaks for a name, and words that the sample mostly writes in lower case
-are none. The fitted field then labels the rest of the sample where it is sure, and is fitted again (``ROUNDS`` times): it learns given names, endings of surnames and
-further contexts from the texts. The strength of skip edges is the agreement of repeated words in the labelled sample. There is no list of names.
+Fitting. No table holds labels, so the weights are fitted to the texts themselves, all of them, labelled by public patterns: a title, an introduction or a closing
+before two or three capitalised words speaks for a name, and words that the texts mostly write in lower case are none. The fitted field then labels the rest of the
+texts where it is sure, and is fitted again (``ROUNDS`` times): it learns given names, endings of surnames and further contexts from the texts. The strength of skip
+edges is the agreement of repeated words in the labelled texts. There is no list of names. Each step takes the gradient of the likelihood over all labelled runs; a
+:class:`Batch` holds the runs of some texts and a :class:`Part` those labelled, and their gradients and counts add up, wherever they are.
 """
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import regex
 
-#: Documents that the field is fitted to, at most, and rounds of labelling.
-SAMPLE, ROUNDS = 20_000, 3
+#: Rounds of labelling, and steps of fitting before the first and after each.
+ROUNDS, STEPS, MORE = 4, 80, 30
 #: Texts that must hold a word in lower case, or alone, before that speaks against it.
 LEAST = 3
 BITS, SWEEPS = 18, 4
@@ -47,7 +50,7 @@ class Runs:
 
     def __init__(self, texts: list[str | None], rates: dict[str, tuple[int, int]] | None = None):
         """``rates``: how often words stand in lower case, and outside of runs."""
-        self.rates = rates or {}
+        self.rates, self.links = rates or {}, None
         self.text, self.start, self.end, self.run, self.gap, self.words, self.features, self.doc_runs = [], [], [], [], [], [], [], []
         n = 0
         for i, t in enumerate(texts):
@@ -93,13 +96,107 @@ class Runs:
             self.run.append(n)
             self.gap.append(-1 if k == 0 else COMMA if gap.startswith(",") else STOP if gap.startswith(".") else SPACE)
 
+    def edges(self) -> np.ndarray:
+        """Skip edges along the repetitions of a word in a text, in order: n - 1 for n of them."""
+        if self.links is None:
+            seen, e = {}, []
+            for k, (i, w) in enumerate(zip(self.text.tolist(), self.words)):
+                if len(w) > 1:
+                    if (i, w) in seen:
+                        e.append((seen[i, w], k))
+                    seen[i, w] = k
+            self.links = np.array(e, np.int64).reshape(-1, 2)
+        return self.links
 
-    def take(self, keep: np.ndarray) -> Runs:
-        """The chosen tokens (whole runs), for fitting."""
-        out = object.__new__(Runs)
-        out.gap, out.index = self.gap[keep], self.index[keep]
-        out.count = int((out.gap < 0).sum())
-        return out
+
+class Batch:
+    """The runs of some texts without the texts, and their labels by public patterns: what fitting needs of them."""
+
+    def __init__(self, index: np.ndarray, gap: np.ndarray, links: np.ndarray, given: np.ndarray):
+        self.index, self.gap, self.links, self.given, self.count = index, gap, links, given, int((gap < 0).sum())
+
+    def edges(self) -> np.ndarray:
+        return self.links
+
+    def packed(self) -> bytes:
+        return pickle.dumps((self.index, self.gap.astype(np.int8), self.links.astype(np.int32), self.given.astype(np.int8)))
+
+    @staticmethod
+    def unpacked(x: bytes) -> Batch:
+        index, gap, links, given = pickle.loads(x)
+        return Batch(index, gap.astype(np.int64), links.astype(np.int64), given.astype(np.int64))
+
+    def labels(self, field: Field | None) -> np.ndarray:
+        """Labels by public patterns, and with ``field`` those of runs of whose every token it is sure; -1 for unknown."""
+        if field is None or not self.count:
+            return self.given
+        b = field.beliefs(self)
+        sure = (b.max(axis=1) > np.log(0.85)) & ((b.argmax(axis=1) > O) | (b[:, O] > np.log(0.95)))
+        first = np.flatnonzero(self.gap < 0)
+        whole = np.logical_and.reduceat(sure, first)[np.cumsum(self.gap < 0) - 1]  # runs are labelled as a whole
+        return np.where(self.given >= 0, self.given, np.where(whole, b.argmax(axis=1), -1))
+
+    def agreement(self, labels: np.ndarray) -> tuple[int, int]:
+        """How many skip edges join words that are both in names or both in none, by the labels, and how many others with labels."""
+        a, b = labels[self.links[:, 0]], labels[self.links[:, 1]]
+        both = (a >= 0) & (b >= 0)
+        same = int(((a[both] > 0) == (b[both] > 0)).sum())
+        return same, int(both.sum()) - same
+
+
+class Part:
+    """The labelled runs of a batch. ``named``, ``others``: how many runs have a name by their labels, and how many none."""
+
+    def __init__(self, batch: Batch, labels: np.ndarray):
+        first = np.flatnonzero(batch.gap < 0)
+        keep = np.logical_or.reduceat(labels >= 0, first)[np.cumsum(batch.gap < 0) - 1] if len(first) else np.zeros(0, bool)
+        self.gap, self.y, index = batch.gap[keep], labels[keep], batch.index[keep]
+        used, at = np.unique(index, return_inverse=True)
+        self.used, self.at = used, at.reshape(index.shape).astype(np.int32)
+        self._count()
+
+    def _count(self) -> None:
+        first = np.flatnonzero(self.gap < 0)
+        self.run, self.count = np.cumsum(self.gap < 0) - 1, len(first)
+        self.has = np.logical_or.reduceat(self.y > 0, first) if len(first) else np.zeros(0, bool)
+        self.named, self.others = int(self.has.sum()), int((~self.has).sum())
+        self.clamp = np.where((self.y >= 0)[:, None] & (np.arange(3) != self.y[:, None]), -40.0, 0.0)
+        self.flat = self.at.ravel()
+
+    def packed(self) -> bytes:
+        return pickle.dumps((self.used.astype(np.int32), self.at, self.gap.astype(np.int8), self.y.astype(np.int8)))
+
+    @staticmethod
+    def unpacked(x: bytes) -> Part:
+        p = object.__new__(Part)
+        p.used, p.at, p.gap, p.y = (v.astype(np.int64) if k > 1 else v for k, v in enumerate(pickle.loads(x)))
+        p._count()
+        return p
+
+    def gradient(self, field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+        """That of the labels' likelihood (with -1 summed over) by the weights of ``used`` features and the transitions; ``ratio``: what a run with a name counts."""
+        weight = np.where(self.has, ratio, 1.0)
+        own, width = w[self.used], self.at.shape[1]
+        s = own[self.at[:, 0]]
+        for k in range(1, width):
+            s += own[self.at[:, k]]
+        s[:, I] += np.where(self.gap < 0, -20.0, 0.0)
+        model, held = np.zeros_like(field.t), np.zeros_like(field.t)
+        p = np.exp(field.chains(s, self, model, weight)) - np.exp(field.chains(s + self.clamp, self, held, weight))
+        p *= weight[self.run][:, None]
+        return np.stack([np.bincount(self.flat, np.repeat(p[:, k], width), len(self.used)) for k in range(3)], axis=1), model - held
+
+
+def summed(parts: Iterable[Part], field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features that occur, gradient by weight, gradient by transition) of all the parts."""
+    d, dt, seen = np.zeros(w.shape), np.zeros_like(field.t), np.zeros(len(w), bool)
+    for p in parts:
+        if p.count:
+            own, own_t = p.gradient(field, w, ratio)
+            d[p.used] += own
+            dt += own_t
+            seen[p.used] = True
+    return seen, d, dt
 
 
 class Field:
@@ -152,21 +249,10 @@ class Field:
                         pairs[gap] += x[runs.gap[at[here, k]] == gap].sum(axis=0)
         return np.log(np.maximum(out, 1e-300))
 
-    @staticmethod
-    def edges(runs: Runs) -> np.ndarray:
-        """Skip edges along the repetitions of a word in a text, in order: n - 1 for n of them."""
-        seen, e = {}, []
-        for k, (i, w) in enumerate(zip(runs.text.tolist(), runs.words)):
-            if len(w) > 1:
-                if (i, w) in seen:
-                    e.append((seen[i, w], k))
-                seen[i, w] = k
-        return np.array(e, np.int64).reshape(-1, 2)
-
     def beliefs(self, runs: Runs, skips: bool = True) -> np.ndarray:
         """Log probabilities of the labels by loopy message passing: exact sums along chains, between them messages over the skip edges."""
         unary = self.unary(runs)
-        e = self.edges(runs) if skips and self.skip > 0 else np.zeros((0, 2), np.int64)
+        e = runs.edges() if skips and self.skip > 0 else np.zeros((0, 2), np.int64)
         if not len(e):
             return self.chains(unary, runs)
         source, to = np.concatenate((e[:, 0], e[:, 1])), np.concatenate((e[:, 1], e[:, 0]))
@@ -196,52 +282,32 @@ class Field:
             k = j
         return out
 
-    def learn(self, runs: Runs, labels: np.ndarray, steps: int = 80, l2: float = 0.01) -> None:
-        """Fits weights and transitions to the likelihood of the labels (-1: unknown, summed over), with scaled gradient steps from where they are."""
-        first = np.flatnonzero(runs.gap < 0)
-        whole = np.cumsum(runs.gap < 0) - 1
-        keep = np.logical_or.reduceat(labels >= 0, first)[whole]
-        if not keep.any():
+    def learn(self, total: Callable, named: int, others: int, steps: int, l2: float = 0.01) -> None:
+        """Fits weights and transitions to the likelihood of the labels, with scaled gradient steps from where they are. ``total``: :func:`summed` over all parts."""
+        if not named + others:
             return
-        part, y = runs.take(keep), labels[keep]
-        first = np.flatnonzero(part.gap < 0)
-        whole = np.cumsum(part.gap < 0) - 1
-        clamp = np.where((y >= 0)[:, None] & (np.arange(3) != y[:, None]), -40.0, 0.0)
-        named = np.logical_or.reduceat(y > 0, first)
-        weight = np.where(named, np.clip((~named).sum() / max(named.sum(), 1), 1.0, 4.0), 1.0)  # names are rare among the labelled
-        used, at = np.unique(part.index, return_inverse=True)
-        at = at.reshape(part.index.shape)
-        w, flat, width = self.w[used].astype(np.float64), at.ravel(), at.shape[1]
+        ratio = float(np.clip(others / max(named, 1), 1.0, 4.0))  # names are rare among the labelled
+        w = self.w.astype(np.float64)
         gw, gt = np.full(w.shape, 1e-6), np.full(self.t.shape, 1e-6)
         free = self.t > -10
-        start = np.where(part.gap < 0, -20.0, 0.0)
         for _ in range(steps):
-            s = w[at].sum(axis=1)
-            s[:, I] += start
-            model, held = np.zeros_like(self.t), np.zeros_like(self.t)
-            p = np.exp(self.chains(s, part, model, weight)) - np.exp(self.chains(s + clamp, part, held, weight))
-            p *= weight[whole][:, None]
-            d = np.stack([np.bincount(flat, np.repeat(p[:, k], width), len(used)) for k in range(3)], axis=1) + l2 * w
-            dt = np.where(free, model - held + l2 * self.t, 0.0)
+            seen, d, dt = total(self, w, ratio)
+            seen[0] = False
+            d = np.where(seen[:, None], d + l2 * w, 0.0)
+            dt = np.where(free, dt + l2 * self.t, 0.0)
             gw += d * d
             gt += dt * dt
             w -= 0.3 * d / np.sqrt(gw)
             self.t -= np.where(free, 0.3 * dt / np.sqrt(gt), 0.0)
-            w[used == 0] = 0.0
-        self.w[used] = w
+        self.w = w.astype(np.float32)
 
-    def couple(self, runs: Runs, labels: np.ndarray) -> None:
+    def couple(self, same: int, other: int) -> None:
         """The strength of skip edges: the log odds, 3 at most, that repeated words of a text are both in names or both in none, by the labels so far."""
-        e = self.edges(runs)
-        a, b = labels[e[:, 0]], labels[e[:, 1]]
-        both = (a >= 0) & (b >= 0)
-        same = ((a[both] > 0) == (b[both] > 0)).sum()
-        self.skip = float(np.clip(np.log((1 + same) / (1 + both.sum() - same)), 0.0, 3.0))
+        self.skip = float(np.clip(np.log((1 + same) / (1 + other)), 0.0, 3.0))
 
 
-def word_rates(texts: list[str | None]) -> dict[str, tuple[int, int]]:
-    """For each word of the sample how often it stands in lower case, and how often outside of runs of capitalised words: 0 for never (fewer than ``LEAST`` texts), 1 if less often than otherwise, 3 if
-    nine times as often or more, 2 between. Words of addresses of any kind don't count."""
+def word_counts(texts: list[str | None]) -> tuple[Counter, Counter, Counter]:
+    """Texts that hold a word in lower case, at all, and within a run of capitalised words. Words of addresses of any kind don't count."""
     lower, whole, inside = Counter(), Counter(), Counter()
     for t in texts:
         if t:
@@ -251,17 +317,27 @@ def word_rates(texts: list[str | None]) -> dict[str, tuple[int, int]]:
             inside.update({w.lower() for m in RUN.finditer(t) for w in TOKEN.findall(m.group())})
             lower.update(w for w in words if w[0].islower())
             whole.update({w.lower() for w in words})
+    return lower, whole, inside
+
+
+def rates_of(counts: Iterable[tuple[str, int, int, int]]) -> dict[str, tuple[int, int]]:
+    """For each word, from the counts, how often it stands in lower case, and how often outside of runs of capitalised words: 0 for never (fewer than ``LEAST`` texts), 1 if less often than otherwise, 3 if
+    nine times as often or more, 2 between."""
     rate = lambda n, rest: 0 if n < LEAST else 3 if n >= 9 * rest else 2 if n >= rest else 1
-    return {w: (rate(lower[w], n - lower[w]), rate(n - inside[w], inside[w])) for w, n in whole.items() if lower[w] or n > inside[w]}
+    return {w: (rate(lower, n - lower), rate(n - inside, inside)) for w, lower, n, inside in counts if n and (lower or n > inside)}
+
+
+def word_rates(texts: list[str | None]) -> dict[str, tuple[int, int]]:
+    lower, whole, inside = word_counts(texts)
+    return rates_of((w, lower[w], n, inside[w]) for w, n in whole.items())
 
 
-def seeds(texts: list[str | None], runs: Runs, taken: list[list[tuple[int, int]]]) -> np.ndarray:
-    """Labels by public patterns; -1 where they say nothing. ``taken``: spans of each text that are something else (addresses and the like)."""
+def seeds(texts: list[str | None], runs: Runs, taken: list | dict) -> np.ndarray:
+    """Labels by public patterns; -1 where they say nothing. ``taken``: (start, end) of spans of each text that are something else (addresses and the like)."""
     labels = np.full(len(runs.words), -1)
     named: dict[int, list[tuple[int, int]]] = {}
-    for i, t in enumerate(texts):
-        if t:
-            named[i] = [m.span(1) for m in _SEED.finditer(t)]
+    for i in set(runs.text.tolist()):
+        named[i] = [m.span(1) for m in _SEED.finditer(texts[i])]
     rates = [runs.rates.get(w, (0, 0)) for w in runs.words]
     bare = np.array([len(w) == 1 and (texts[i] or "")[e : e + 1] != "." for w, i, e in zip(runs.words, runs.text.tolist(), runs.end.tolist())], bool)
     ordinary = bare | np.array([len(w) > 1 and r > 1 or w in TITLES for w, (r, _) in zip(runs.words, rates)], bool)
@@ -282,24 +358,35 @@ def seeds(texts: list[str | None], runs: Runs, taken: list[list[tuple[int, int]]
     return labels
 
 
+def batch(texts: list[str | None], rates: dict[str, tuple[int, int]], taken: Callable[[str], list[tuple[int, int]]] | list) -> Batch:
+    """The runs of some texts with their labels by public patterns; ``taken`` as a function is asked for texts with runs only."""
+    runs = Runs(texts, rates)
+    if callable(taken):
+        taken = {i: taken(texts[i]) for i in set(runs.text.tolist())}
+    return Batch(runs.index, runs.gap, runs.edges(), seeds(texts, runs, taken))
+
+
+def train(field: Field, label: Callable) -> Field:
+    """``label(field)`` labels all texts (None: by public patterns alone) and gives the sum of gradients over them as a function, the runs with a name and without,
+    and the agreement of skip edges."""
+    for n in range(ROUNDS + 1):
+        total, named, others, same, other = label(field if n else None)
+        field.learn(total, named, others, MORE if n else STEPS)
+        field.couple(same, other)
+    return field
+
+
 def fit(texts: list[str | None], taken: list[list[tuple[int, int]]]) -> Field:
-    """A field fitted to the texts of a sample."""
+    """A field fitted to texts in memory."""
     field = Field()
     field.rates = word_rates(texts)
-    runs = Runs(texts, field.rates)
-    if not runs.count:
+    own = batch(texts, field.rates, taken)
+    if not own.count:
         return field
-    given = seeds(texts, runs, taken)
-    labels = given
-    for n in range(ROUNDS + 1):
-        field.learn(runs, labels, steps=50 if n == 0 else 20)
-        if n == ROUNDS:
-            break
-        field.couple(runs, labels)
-        b = field.beliefs(runs)
-        sure = (b.max(axis=1) > np.log(0.85)) & ((b.argmax(axis=1) > O) | (b[:, O] > np.log(0.95)))
-        first = np.flatnonzero(runs.gap < 0)
-        whole = np.logical_and.reduceat(sure, first)[np.cumsum(runs.gap < 0) - 1]  # runs are labelled as a whole
-        labels = np.where(given >= 0, given, np.where(whole, b.argmax(axis=1), -1))
-    field.couple(runs, labels)
-    return field
+
+    def label(f: Field | None) -> tuple:
+        y = own.labels(f)
+        part = Part(own, y)
+        return lambda f, w, ratio: summed([part], f, w, ratio), part.named, part.others, *own.agreement(y)
+
+    return train(field, label)

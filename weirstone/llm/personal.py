@@ -15,15 +15,18 @@ of the model, in units of log odds.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm.names import SAMPLE, Field, Runs, fit
+from weirstone.llm.names import BITS, LEAST, Batch, Field, Part, Runs, batch, rates_of, summed, train, word_counts
+from weirstone.session import shuffles_dropped, written
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 
@@ -83,6 +86,8 @@ WAY_ANCHORS = [f" {w}" for w in "street st road rd lane ln avenue ave drive dr c
 #: A span and its repetition lose by different labels.
 REPEAT, NEIGHBOUR, EXCLUDE = 1.6, 0.3, 12.0
 ROUNDS = 12
+#: Characters of texts that are looked at together in fitting; bytes of labelled runs up to which the driver adds up their gradients; tasks whose sums it takes.
+TOGETHER, HELD, SUMS = 20_000_000, 64_000_000, 16
 
 
 class Node:
@@ -239,14 +244,121 @@ def find(text: str, field: Field) -> list[Node]:
     return find_all([text], field)[0]
 
 
-def fit_names(df: DataFrame, key: str, text: str, sample: int = SAMPLE, longest: int = 100_000) -> Field:
-    """The name field fitted to at most ``sample`` texts of at most ``longest`` characters, those with the least hash. All texts are searched with it."""
-    rows = df.select(F.col(text).alias("t"), F.xxhash64(key, text).alias("h"))
-    # a share of the rows that gives somewhat more than the sample, so that tasks don't send one each
-    share = min(1.0, 1.25 * sample / max(1, df.count()))
-    rows = rows.filter((F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1) & F.length("t").between(1, longest))
-    texts = [r.t for r in rows.orderBy("h", "t").limit(sample).collect()]  # bounded: ``sample`` texts
-    return fit(texts, [[(n.start, n.end) for n in decide(candidates(t))] for t in texts])
+def _blobs(f) -> object:
+    """Each packed value through ``f``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column("packed").to_pylist():
+                yield f(x)
+
+    return run
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lower, whole, inside = word_counts(b.column("text").to_pylist())
+        w = list(whole)
+        yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), *(pa.array([c[x] for x in w], pa.int64()) for c in (lower, whole, inside))], ["word", "low", "n", "inside"])
+
+
+def _runs(rates: dict[str, tuple[int, int]]):
+    """The runs of all texts, packed."""
+    taken = lambda t: [(n.start, n.end) for n in decide(candidates(t))]
+
+    def pack(texts: list[str]) -> pa.RecordBatch:
+        own = batch(texts, rates, taken)
+        return pa.RecordBatch.from_arrays([pa.array([own.packed()] if own.count else [], pa.binary())], ["packed"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some, size = [], 0
+            for t in b.column("text").to_pylist():
+                if t:
+                    some.append(t)
+                    size += len(t)
+                    if size >= TOGETHER:
+                        yield pack(some)
+                        some, size = [], 0
+            yield pack(some)
+
+    return run
+
+
+def _labelled(field: Field | None):
+    """The labelled runs, packed, and what is counted of them."""
+
+    def one(x: bytes) -> pa.RecordBatch:
+        own = Batch.unpacked(x)
+        y = own.labels(field)
+        part = Part(own, y)
+        packed = part.packed()
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (packed, len(packed), part.named, part.others, *own.agreement(y))], ["packed", "bytes", "named", "others", "same", "other"])
+
+    return _blobs(one)
+
+
+def _added(found: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    seen, d, dt = np.zeros(1 << BITS, bool), np.zeros((1 << BITS, 3)), np.zeros((3, 3, 3))
+    for at, own, own_t in found:
+        seen[at] = True
+        d[at] += own
+        dt += own_t
+    return seen, d, dt
+
+
+def _packed_sum(seen: np.ndarray, d: np.ndarray, dt: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(seen).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((at, d[at], dt))], pa.binary())], ["packed"])
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    return (x for b in batches for x in b.column("packed").to_pylist())
+
+
+def _totals(parts: DataFrame, field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`names.summed` over a table of parts: by task, then over groups of tasks, and at last here."""
+    bare = Field()
+    bare.w, bare.t = None, field.t  # the weights are in ``w``
+
+    def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _packed_sum(*summed(map(Part.unpacked, _values(batches)), bare, w, ratio))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _packed_sum(*_added(map(pickle.loads, _values(batches))))
+
+    sums, tasks = parts.select("packed").mapInArrow(gradients, "packed binary"), parts.rdd.getNumPartitions()
+    while tasks > SUMS:
+        tasks = -(-tasks // SUMS)
+        sums = sums.repartition(tasks).mapInArrow(add, "packed binary")
+    return _added(pickle.loads(r.packed) for r in sums.collect())  # bounded: SUMS rows of 2**BITS weights
+
+
+def fit_names(df: DataFrame, key: str, text: str) -> Field:
+    """The name field fitted to all texts of ``df``, whole: :func:`names.fit` of them, wherever they are.
+
+    Words are counted over all texts, and each step's gradient is summed over the labelled runs of all texts. The driver holds the weights, and the rates of the words that
+    stand in runs and at least ``names.LEAST`` times outside of them; labelled runs only where they take no more than ``HELD`` bytes.
+    """
+    field, texts = Field(), df.select(F.col(text).alias("text"))
+    with shuffles_dropped(df.sparkSession):
+        counts = texts.mapInArrow(_word_counts, "word string, low bigint, n bigint, inside bigint").groupBy("word").agg(*(F.sum(k).alias(k) for k in ("low", "n", "inside")))
+        # words that stand in no run are never looked up, and rarer ones count as unknown
+        counts = counts.filter((F.col("inside") > 0) & (F.greatest("low", F.col("n") - F.col("inside")) >= LEAST))
+        field.rates = rates_of((r.word, r.low, r.n, r.inside) for r in counts.collect())
+        runs = written(texts.mapInArrow(_runs(field.rates), "packed binary"))
+        if runs.isEmpty():
+            return field
+
+        def label(f: Field | None) -> tuple:
+            parts = written(runs.mapInArrow(_labelled(f), "packed binary, bytes bigint, named bigint, others bigint, same bigint, other bigint"))
+            n = parts.agg(*(F.sum(k) for k in ("bytes", "named", "others", "same", "other"))).first()
+            if n[0] > HELD:
+                return lambda *x: _totals(parts, *x), *n[1:]
+            own = [Part.unpacked(r.packed) for r in parts.select("packed").collect()]  # bounded: HELD bytes
+            return lambda *x: summed(own, *x), *n[1:]
+
+        return train(field, label)
 
 
 def redact(text: str, found: list[Node]) -> str:
@@ -282,7 +394,7 @@ def _rows(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
 def find_personal(df: DataFrame, key: str, text: str, field: Field | None = None) -> DataFrame:
     """(``key``, kind, value) of each distinct piece of personal information in a row's text, as written there.
 
-    ``field``: the fitted names; without it they are fitted to a sample of ``df``. Null and empty texts have none; texts are searched whole; repeated rows give repeated
+    ``field``: the fitted names; without it they are fitted to ``df``. Null and empty texts have none; texts are searched whole; repeated rows give repeated
     results; other columns aren't read. No row is moved.
     """
     rows, kind = _rows(df, key, text)
