@@ -126,6 +126,13 @@ class Batch:
         index, gap, links, given = pickle.loads(x)
         return Batch(index, gap.astype(np.int64), links.astype(np.int64), given.astype(np.int64))
 
+    @staticmethod
+    def joined(some: list[Batch]) -> Batch:
+        """Several batches as one; features are padded by 0."""
+        width, at = max(b.index.shape[1] for b in some), np.cumsum([0, *(len(b.gap) for b in some)])
+        index = np.concatenate([np.pad(b.index, ((0, 0), (0, width - b.index.shape[1]))) for b in some])
+        return Batch(index, np.concatenate([b.gap for b in some]), np.concatenate([b.links + k for b, k in zip(some, at)]), np.concatenate([b.given for b in some]))
+
     def labels(self, field: Field | None) -> np.ndarray:
         """Labels by public patterns, and with ``field`` those of runs of whose every token it is sure; -1 for unknown."""
         if field is None or not self.count:
@@ -160,8 +167,15 @@ class Part:
         self.run, self.count = np.cumsum(self.gap < 0) - 1, len(first)
         self.has = np.logical_or.reduceat(self.y > 0, first) if len(first) else np.zeros(0, bool)
         self.named, self.others = int(self.has.sum()), int((~self.has).sum())
-        self.clamp = np.where((self.y >= 0)[:, None] & (np.arange(3) != self.y[:, None]), -40.0, 0.0)
-        self.flat = self.at.ravel()
+        self.flat = self.at.ravel().astype(np.int64)
+        # runs of which every label is known need no sums over labels; the others do
+        known = np.logical_and.reduceat(self.y >= 0, first)[self.run] if len(first) else np.zeros(0, bool)
+        self.open = np.flatnonzero(~known)
+        self.rest = Batch(np.zeros((0, 1), np.int32), self.gap[self.open], np.zeros((0, 2), np.int64), self.y[self.open])
+        self.clamp = np.where((self.rest.given >= 0)[:, None] & (np.arange(3) != self.rest.given[:, None]), -40.0, 0.0)
+        self.own = np.where(known[:, None], np.arange(3) == self.y[:, None], 0.0)
+        self.pair = np.flatnonzero(known & (self.gap >= 0))
+        self.step = (self.gap[self.pair] * 3 + self.y[self.pair - 1]) * 3 + self.y[self.pair]
 
     def packed(self) -> bytes:
         return pickle.dumps((self.used.astype(np.int32), self.at, self.gap.astype(np.int8), self.y.astype(np.int8)))
@@ -177,12 +191,14 @@ class Part:
         """That of the labels' likelihood (with -1 summed over) by the weights of ``used`` features and the transitions; ``ratio``: what a run with a name counts."""
         weight = np.where(self.has, ratio, 1.0)
         own, width = w[self.used], self.at.shape[1]
-        s = own[self.at[:, 0]]
-        for k in range(1, width):
-            s += own[self.at[:, k]]
+        s = own.take(self.flat, axis=0).reshape(*self.at.shape, 3).sum(axis=1)
         s[:, I] += np.where(self.gap < 0, -20.0, 0.0)
-        model, held = np.zeros_like(field.t), np.zeros_like(field.t)
-        p = np.exp(field.chains(s, self, model, weight)) - np.exp(field.chains(s + self.clamp, self, held, weight))
+        model = np.zeros_like(field.t)
+        p = np.exp(field.chains(s, self, model, weight))
+        held = np.bincount(self.step, weight[self.run[self.pair]], 27).reshape(3, 3, 3)
+        p -= self.own
+        if len(self.open):
+            p[self.open] -= np.exp(field.chains(s[self.open] + self.clamp, self.rest, held, weight[self.run[self.open[self.rest.gap < 0]]]))
         p *= weight[self.run][:, None]
         return np.stack([np.bincount(self.flat, np.repeat(p[:, k], width), len(self.used)) for k in range(3)], axis=1), model - held
 

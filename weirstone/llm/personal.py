@@ -86,8 +86,8 @@ WAY_ANCHORS = [f" {w}" for w in "street st road rd lane ln avenue ave drive dr c
 #: A span and its repetition lose by different labels.
 REPEAT, NEIGHBOUR, EXCLUDE = 1.6, 0.3, 12.0
 ROUNDS = 12
-#: Characters of texts that are looked at together in fitting; bytes of labelled runs up to which the driver adds up their gradients; tasks whose sums it takes.
-TOGETHER, HELD, SUMS = 20_000_000, 64_000_000, 16
+#: Characters of texts, and bytes of runs, that are looked at together in fitting; bytes of labelled runs up to which the driver adds up their gradients; tasks whose sums it takes.
+TOGETHER, PIECE, HELD, SUMS = 20_000_000, 8_000_000, 24_000_000, 16
 
 
 class Node:
@@ -119,7 +119,7 @@ def _anchors():
 
     a = ahocorasick.Automaton()
     for w in WAY_ANCHORS:
-        a.add_word(w, True)
+        a.add_word(w, w[0] == " ")
     a.make_automaton()
     return a
 
@@ -132,8 +132,9 @@ def _regions(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     low = text.lower()
     if len(low) != size:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    placed = [(max(0, end - 70), min(size, end + 75)) for end, _ in _anchors().iter(low)]
-    return _united(numbers), _united(placed)
+    # a word for a way that goes on in lower case is another word, and an address has a digit
+    placed = [(max(0, end - 120), min(size, end + 120)) for end, whole in _anchors().iter(low) if not (whole and text[end + 1 : end + 2].islower())]
+    return _united(numbers), [(s, e) for s, e in _united(placed) if _DIGIT.search(text, s, e)]
 
 
 def candidates(text: str) -> list[Node]:
@@ -244,15 +245,8 @@ def find(text: str, field: Field) -> list[Node]:
     return find_all([text], field)[0]
 
 
-def _blobs(f) -> object:
-    """Each packed value through ``f``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column("packed").to_pylist():
-                yield f(x)
-
-    return run
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    return (x for b in batches for x in b.column("packed").to_pylist())
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +282,25 @@ def _runs(rates: dict[str, tuple[int, int]]):
 def _labelled(field: Field | None):
     """The labelled runs, packed, and what is counted of them."""
 
-    def one(x: bytes) -> pa.RecordBatch:
-        own = Batch.unpacked(x)
+    def one(some: list[Batch]) -> pa.RecordBatch:
+        own = Batch.joined(some)
         y = own.labels(field)
         part = Part(own, y)
         packed = part.packed()
         return pa.RecordBatch.from_arrays([pa.array([v]) for v in (packed, len(packed), part.named, part.others, *own.agreement(y))], ["packed", "bytes", "named", "others", "same", "other"])
 
-    return _blobs(one)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for x in map(Batch.unpacked, _values(batches)):
+            some.append(x)
+            size += x.index.nbytes
+            if size >= PIECE:
+                yield one(some)
+                some, size = [], 0
+        if some:
+            yield one(some)
+
+    return run
 
 
 def _added(found: Iterator[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,10 +317,6 @@ def _packed_sum(seen: np.ndarray, d: np.ndarray, dt: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array([pickle.dumps((at, d[at], dt))], pa.binary())], ["packed"])
 
 
-def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
-    return (x for b in batches for x in b.column("packed").to_pylist())
-
-
 def _totals(parts: DataFrame, field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """:func:`names.summed` over a table of parts: by task, then over groups of tasks, and at last here."""
     bare = Field()
