@@ -37,7 +37,7 @@ FREQUENT = 20_000
 #: Entries of a word, from which on its cell is split; this bounds what a task holds of one cell.
 BLOCK = 2_000_000
 #: Entries from which on a cell is parted by a further shared word, and shared words at most.
-EXTEND, DEPTH = 1_500, 3
+EXTEND, DEPTH = 400, 3
 #: Cell entries in a bucket, and in a partition of buckets.
 BUCKET, PART = 130_000, 260_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
