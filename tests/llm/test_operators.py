@@ -414,6 +414,76 @@ def test_beliefs_of_chains_are_exact(field):
     assert n == 5 and np.allclose(np.exp(field.chains(u, runs)), p / p.sum(axis=1, keepdims=True))
 
 
+def test_shared_features_are_held_once_and_give_the_same_gradient(field):
+    """Against sums token by token, feature by feature; parts that the driver joins, and those that are packed, too."""
+    import numpy as np
+
+    texts = [f"{a} Ravi{x} Sund{y}-Lund {b}" for a in ("My name is", "Dr.", "the") for x in ("", "n", "sh") for y in ("gren", "holm", "berg") for b in ("and I run the stall", "refused.")] + ["Old Harbour Road Market Hall, Well Street"] * 9
+    batches = [names.batch(some, field.rates, lambda t: []) for some in (texts[:20], [], texts[20:])]
+    whole = names.Batch.joined(batches)
+    labels = whole.labels(field)
+    own = names.Part(whole, labels)
+    assert 0 < sum(t.size for _, t in own.groups) < own.bytes / 4 / 3  # of a feature's four bytes, a third at most is looked at in a step
+    w = np.random.default_rng(1).normal(size=(1 << names.BITS, 3))
+    w[0] = 0.0
+    keep = np.logical_or.reduceat(labels >= 0, np.flatnonzero(whole.gap < 0))[np.cumsum(whole.gap < 0) - 1]
+    index, weight = whole.index[keep], np.where(own.has, 3.0, 1.0)
+    s = w[index].sum(axis=1)
+    s[own.gap < 0, names.I] -= 20.0
+    want, clamped = np.zeros_like(w), s + np.where((own.y >= 0)[:, None] & (np.arange(3) != own.y[:, None]), -40.0, 0.0)
+    np.add.at(want, index, ((np.exp(field.chains(s, own)) - np.exp(field.chains(clamped, own))) * weight[own.run][:, None])[:, None, :])
+    parts = [names.Part(b, b.labels(field)) for b in batches]
+    moved = own.gradient(field, w, 3.0)[1]
+    for some in ([own], [names.Part.unpacked(own.packed())], [names.Part.joined([p for p in parts if p.count])], [names.Part.joined(parts)], parts):
+        seen, d, dt = names.summed(some, field, w, 3.0)
+        assert np.allclose(d[1:], want[1:], atol=1e-6) and np.allclose(dt, moved) and seen[np.unique(index)].all()
+
+
+def test_words_are_counted_as_in_whole_texts():
+    import regex
+
+    rnd = random.Random(3)
+    bits = ["word", "Word", "two-part", "don’t", "it's", "a/b", "x.y", "end.", "u@v.w", "＠", "İstanbul", "हिन्दी", "中文字", "\x1c", "\u00a0", " ", "\n", "O'Neil", "Ann", "Lund", "_a", "1b"]
+    texts = [None, "", *("".join(rnd.choice(bits) + rnd.choice(["", " ", "  "]) for _ in range(rnd.randrange(1, 25))) for _ in range(3000))]
+    lower, whole, inside = names.word_counts(texts)
+    want = [{}, {}]
+    for t in filter(None, texts):
+        if "@" in t or "＠" in t:
+            t = "".join(x for x in regex.split(r"(\s)", t) if "@" not in x and "＠" not in x)
+        words = set(regex.findall(r"(?<![\w'’@/.-])[\p{L}\p{M}]+(?![\w@/]|\.\w)", t))
+        for n, some in enumerate(({w for w in words if w[0].islower()}, {w.lower() for w in words})):
+            for w in some:
+                want[n][w] = want[n].get(w, 0) + 1
+    assert [dict(lower), dict(whole)] == want and inside["lund"] > 0
+    names._words.cache_clear()
+    names.word_counts(["the same words again"] * 500)
+    assert names._words.cache_info()[:2] == (0, 4)  # each piece once, not once for each text
+
+
+def test_patterns_that_cannot_match_are_not_run(monkeypatch):
+    class Never:
+        def finditer(self, *a):
+            raise AssertionError(a)
+
+    plain = "We met at noon, lot 12 of 345, on the 6th; ABCDE and 99"
+    want = personal.candidates("a at b dot c, (at) x.y, QKUZQ5115H, ８３６-５５５-０１７２")
+    assert [(n.kind, n.value) for n in want if n.odds > 0] == [("email", "a at b dot c"), ("id_number", "QKUZQ5115H"), ("phone", "８３６-５５５-０１７２")]
+    for k in ("EMAIL", "_LETTERED", "_RUN"):
+        monkeypatch.setattr(personal, k, Never())
+    assert personal.candidates(plain) == []
+    monkeypatch.setattr(names, "_SEED", Never())
+    names.batch(["drums Hall Road regards Hall Road"], {}, lambda t: [])  # no cue begins a word
+
+
+@pytest.mark.parametrize("cue", ["Mr ", "dr. ", "SIGNED, ", "\u017figned, ", "NAME I\u017f ", "Señora ", "ICH HEI\u1e9eE ", "je m’appelle ", "thanks,\n", "(Ms "])
+def test_cues_are_seen_in_any_case(cue):
+    import numpy as np
+
+    text = f"so {cue}Quoma Zellburg"
+    assert names._SEED.search(text) and names._cued(text)
+    assert np.array_equal(names.batch([text], {}, lambda t: []).given[-2:], [names.B, names.I])
+
+
 def test_an_unfitted_field_finds_nothing():
     empty = names.fit([None, "", "no capitals here"], [[], [], []])
     assert personal.find_all(["My name is Ravi Sund", None, ""], empty) == [[], [], []]

@@ -18,8 +18,12 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: Rounds of labelling, and steps of fitting before the first and after each.
@@ -27,15 +31,22 @@ ROUNDS, STEPS, MORE = 4, 80, 30
 #: Texts that must hold a word in lower case, or alone, before that speaks against it.
 LEAST = 3
 BITS, SWEEPS = 18, 4
+#: Characters of texts whose words are counted together.
+ONCE = 4_000_000
+#: Characters of a word, or of a piece between white space, whose analysis is kept for the next.
+KEPT = 40
 SPACE, COMMA, STOP = range(3)
 O, B, I = range(3)  # noqa: E741
+#: Features of a token by what they are of: the word, what stands before, what stands after, the rest; those of a word with hyphens come last.
+GROUPS = (0, 5, 7, 9, 19)
 
 _TOKEN = r"\p{Lu}[\p{L}\p{M}]*+(?:['’]\p{L}[\p{L}\p{M}]*+)?+(?:-\p{Lu}[\p{L}\p{M}]*+)*+"
 _LINK = r"(?: |, |(?<=(?<![\p{L}\p{M}])[\p{L}\p{M}]{1,4})\. ?)"
 RUN = regex.compile(rf"(?<![\w@/.'’\-#]){_TOKEN}(?:{_LINK}{_TOKEN})+(?![\w@/])")
 TOKEN = regex.compile(_TOKEN)
-_LEFT = regex.compile(r"([\w'’]+)[^\w'’]+([\w'’]+)([^\w'’]*)$|([\w'’]+)([^\w'’]*)$")
-_RIGHT = regex.compile(r"([^\w'’]*)([\w'’]+)(?:[^\w'’]+([\w'’]+))?")
+_BESIDE = regex.compile(r"([^\w'’]*)([\w'’]+)(?:[^\w'’]+([\w'’]+))?")
+
+_WORD = regex.compile(r"(?<![\w'’@/.-])[\p{L}\p{M}]+(?![\w@/]|\.\w)")
 
 #: Public cues for labelling: titles; introductions; closings.
 TITLES = "mr mrs ms miss mx dr prof herr frau señor señora sr sra mme shri smt".split()
@@ -45,12 +56,65 @@ _SEED = regex.compile(
 )
 
 
+def _feature(x: str) -> int:
+    return 1 + (zlib.crc32(x.encode()) & ((1 << BITS) - 2))
+
+
+@lru_cache(maxsize=1 << 16)
+def _of_word(w: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """The features of a word, and those of its parts by hyphens."""
+    f = [f"w{w}", f"e{w[-3:]}", f"E{w[-4:]}", f"b{w[:3]}", f"c{w[:4]}"]
+    parts = [f"e{x[-3:]}" for x in w.split("-")[:-1]] + [f"b{x[:3]}" for x in w.split("-")[1:]] if "-" in w else []
+    return tuple(map(_feature, f)), tuple(map(_feature, parts))
+
+
+@lru_cache(maxsize=1 << 16)
+def _of_place(shape: str, gap: str, ngap: str, begins: bool, ends: bool, rate: int, alone: int) -> tuple[int, ...]:
+    """The features of a token that aren't of words."""
+    f = [f"s{shape}", f"g{gap}", f"h{ngap}", f"k{begins}{ends}{shape}", f"r{rate}", f"R{rate}{shape}{begins}", f"a{alone}", f"A{alone}{shape}{ends}{ngap[:1]}", f"S{shape}{gap[:1]}{ngap[:1]}", "bias"]
+    return tuple(map(_feature, f))
+
+
+class Order:
+    """Tokens of runs by their place in them, longer runs first: those at place k are ``parts[k]``, and their runs are the first of those at place k - 1."""
+
+    def __init__(self, gap: np.ndarray):
+        first = np.flatnonzero(gap < 0)
+        size = np.diff(np.append(first, len(gap)))
+        longest = np.argsort(-size, kind="stable")
+        many = np.searchsorted(-size[longest], -np.arange(size.max(initial=0)), side="left")  # runs of more than k tokens
+        ends = np.cumsum(many)
+        self.parts = [slice(e - m, e) for e, m in zip(ends.tolist(), many.tolist())]
+        self.run = np.concatenate([longest[:m] for m in many]) if len(many) else longest
+        self.at = first[self.run] + np.repeat(np.arange(len(many)), many)
+        self.gap = np.maximum(gap[self.at], 0)
+        self.later = int(many[0]) if len(many) else 0  # from here on tokens have one before them,
+        self.before = np.arange(self.later, len(gap)) - np.repeat(many[:-1], many[1:])  # and that is where
+
+
+@lru_cache(maxsize=1)
+def _cues():
+    import ahocorasick
+
+    a = ahocorasick.Automaton()
+    for w in [f"{t}{x} " for t in TITLES for x in ("", ".")] + ["name is ", "name's ", "me llamo ", "mi nombre es ", "ich hei", "je m", "mi chiamo ", "mera naam ", "signed,", "sincerely,", "faithfully,", "regards,", "thanks,", "cheers,"]:
+        a.add_word(w, len(w) - 1)
+    a.make_automaton()
+    return a
+
+
+def _cued(text: str) -> bool:
+    """Whether ``_SEED`` may match: one of its cues stands in the text where a word may begin. The letters besides are those that other cases of a to z can be."""
+    low = text.lower()
+    return any(end == n or not low[end - n - 1].isalnum() for end, n in _cues().iter(low)) or any(x in text for x in "ſ\u212aİı")
+
+
 class Runs:
     """The runs of some texts as flat arrays. ``text``, ``start``, ``end``, ``run`` by token; ``gap``: what parts a token from the one before in its run (-1 for the first)."""
 
     def __init__(self, texts: list[str | None], rates: dict[str, tuple[int, int]] | None = None):
         """``rates``: how often words stand in lower case, and outside of runs."""
-        self.rates, self.links = rates or {}, None
+        self.rates, self.links, self.placed = rates or {}, None, None
         self.text, self.start, self.end, self.run, self.gap, self.words, self.features, self.doc_runs = [], [], [], [], [], [], [], []
         n = 0
         for i, t in enumerate(texts):
@@ -62,18 +126,18 @@ class Runs:
         self.count = n
         for k in ("text", "start", "end", "run", "gap"):
             setattr(self, k, np.array(getattr(self, k), np.int64))
-        width = max(map(len, self.features), default=1)
-        self.index = np.zeros((len(self.features), width), np.int32)  # feature 0 is kept at weight 0
-        for r, f in enumerate(self.features):
-            self.index[r, : len(f)] = f
+        size = np.fromiter(map(len, self.features), np.int64, len(self.features))
+        width = int(size.max(initial=1))
+        self.index = np.zeros((len(size), width), np.int32)  # feature 0 is kept at weight 0
+        self.index[np.arange(width) < size[:, None]] = np.fromiter(chain.from_iterable(self.features), np.int32, size.sum())
 
     def _add(self, t: str, i: int, n: int, begin: int, end: int) -> None:
         spans = [(m.start(), m.end()) for m in TOKEN.finditer(t, begin, end)]
-        left, right = _LEFT.search(t[max(0, begin - 40) : begin]), _RIGHT.match(t[end : end + 40])
+        left, right = _BESIDE.match(t[max(0, begin - 40) : begin][::-1]), _BESIDE.match(t[end : end + 40])
         l1 = l2 = r1 = r2 = ""
         lgap = rgap = "#"
         if left:
-            l2, l1, lgap = (left[1] or "", left[2], left[3]) if left[2] else ("", left[4], left[5])
+            lgap, l1, l2 = left[1][::-1], left[2][::-1], (left[3] or "")[::-1]
         if right:
             rgap, r1, r2 = right[1], right[2], right[3] or ""
         l1, l2, r1, r2 = l1.lower(), l2.lower(), r1.lower(), r2.lower()
@@ -85,10 +149,8 @@ class Runs:
             shape = ("." if t[b : b + 1] == "." else "1") if len(raw) == 1 else "A" if raw.isupper() else "x" if raw[1:].islower() else "m"
             gap, ngap = gap[:3], ngap[:3]
             rate, alone = self.rates.get(w, (0, 0))
-            f = [f"w{w}", f"s{shape}", f"e{w[-3:]}", f"E{w[-4:]}", f"b{w[:3]}", f"c{w[:4]}", f"p{p1}", f"P{p2}|{p1}{gap}", f"g{gap}", f"n{n1}", f"N{n1}|{n2}", f"h{ngap}", f"k{k == 0}{k == len(spans) - 1}{shape}", f"r{rate}", f"R{rate}{shape}{k == 0}", f"a{alone}", f"A{alone}{shape}{k == len(spans) - 1}{ngap[:1]}", f"S{shape}{gap[:1]}{ngap[:1]}", "bias"]
-            if "-" in w:
-                f += [f"e{x[-3:]}" for x in w.split("-")[:-1]] + [f"b{x[:3]}" for x in w.split("-")[1:]]
-            self.features.append([1 + (zlib.crc32(x.encode()) & ((1 << BITS) - 2)) for x in f])
+            of_word, of_parts = (_of_word if len(w) <= KEPT else _of_word.__wrapped__)(w)
+            self.features.append((*of_word, *map(_feature, (f"p{p1}", f"P{p2}|{p1}{gap}", f"n{n1}", f"N{n1}|{n2}")), *_of_place(shape, gap, ngap, k == 0, k == len(spans) - 1, rate, alone), *of_parts))
             self.words.append(w)
             self.text.append(i)
             self.start.append(a)
@@ -96,6 +158,11 @@ class Runs:
             self.run.append(n)
             self.gap.append(-1 if k == 0 else COMMA if gap.startswith(",") else STOP if gap.startswith(".") else SPACE)
 
+    def order(self) -> Order:
+        if self.placed is None:
+            self.placed = Order(self.gap)
+        return self.placed
+
     def edges(self) -> np.ndarray:
         """Skip edges along the repetitions of a word in a text, in order: n - 1 for n of them."""
         if self.links is None:
@@ -113,7 +180,9 @@ class Batch:
     """The runs of some texts without the texts, and their labels by public patterns: what fitting needs of them."""
 
     def __init__(self, index: np.ndarray, gap: np.ndarray, links: np.ndarray, given: np.ndarray):
-        self.index, self.gap, self.links, self.given, self.count = index, gap, links, given, int((gap < 0).sum())
+        self.index, self.gap, self.links, self.given, self.count, self.placed = index, gap, links, given, int((gap < 0).sum()), None
+
+    order = Runs.order
 
     def edges(self) -> np.ndarray:
         return self.links
@@ -151,23 +220,46 @@ class Batch:
         return same, int(both.sum()) - same
 
 
+def _distinct(index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct rows of ``index``, and for each of its rows which one it is."""
+    key = np.zeros(len(index), np.uint64)
+    for k in range(index.shape[1]):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + index[:, k].astype(np.uint64)
+    _, first, rows = np.unique(key, return_index=True, return_inverse=True)
+    table = index[first]
+    if not np.array_equal(table[rows], index):  # two rows with one key
+        table, rows = np.unique(index, axis=0, return_inverse=True)
+    return rows.reshape(-1).astype(np.int32), table
+
+
 class Part:
-    """The labelled runs of a batch. ``named``, ``others``: how many runs have a name by their labels, and how many none."""
+    """The labelled runs of a batch. ``named``, ``others``: how many runs have a name by their labels, and how many none.
+
+    Tokens share most of their features with others, so each group of ``GROUPS`` is held as a table of its distinct rows, and the row of each token: sums over features and over tokens
+    are taken row by row. ``bytes``: what the features take, one by one.
+    """
 
     def __init__(self, batch: Batch, labels: np.ndarray):
         first = np.flatnonzero(batch.gap < 0)
         keep = np.logical_or.reduceat(labels >= 0, first)[np.cumsum(batch.gap < 0) - 1] if len(first) else np.zeros(0, bool)
-        self.gap, self.y, index = batch.gap[keep], labels[keep], batch.index[keep]
-        used, at = np.unique(index, return_inverse=True)
-        self.used, self.at = used, at.reshape(index.shape).astype(np.int32)
+        index = batch.index[keep]
+        ends = [*GROUPS[1:], index.shape[1]]
+        groups = [index[:, a:b] for a, b in zip(GROUPS, ends) if b > a]
+        self.bytes = index.nbytes
+        self._set(batch.gap[keep], labels[keep], [_distinct(g) for g in groups])
+
+    def _set(self, gap: np.ndarray, y: np.ndarray, groups: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.gap, self.y = gap, y
+        self.used, at = np.unique(np.concatenate([t.ravel() for _, t in groups]) if groups else np.zeros(0, np.int32), return_inverse=True)
+        cut = np.cumsum([t.size for _, t in groups])[:-1]
+        self.groups = [(rows.astype(np.int64), x.reshape(t.shape)) for (rows, t), x in zip(groups, np.split(at, cut))]
         self._count()
 
     def _count(self) -> None:
         first = np.flatnonzero(self.gap < 0)
-        self.run, self.count = np.cumsum(self.gap < 0) - 1, len(first)
+        self.run, self.count, self.placed = np.cumsum(self.gap < 0) - 1, len(first), None
         self.has = np.logical_or.reduceat(self.y > 0, first) if len(first) else np.zeros(0, bool)
         self.named, self.others = int(self.has.sum()), int((~self.has).sum())
-        self.flat = self.at.ravel().astype(np.int64)
         # runs of which every label is known need no sums over labels; the others do
         known = np.logical_and.reduceat(self.y >= 0, first)[self.run] if len(first) else np.zeros(0, bool)
         self.open = np.flatnonzero(~known)
@@ -177,30 +269,51 @@ class Part:
         self.pair = np.flatnonzero(known & (self.gap >= 0))
         self.step = (self.gap[self.pair] * 3 + self.y[self.pair - 1]) * 3 + self.y[self.pair]
 
+    order = Runs.order
+
     def packed(self) -> bytes:
-        return pickle.dumps((self.used.astype(np.int32), self.at, self.gap.astype(np.int8), self.y.astype(np.int8)))
+        groups = [(rows.astype(np.int32), table.astype(np.int32)) for rows, table in self.groups]
+        return pickle.dumps((self.used.astype(np.int32), groups, self.gap.astype(np.int8), self.y.astype(np.int8)))
 
     @staticmethod
     def unpacked(x: bytes) -> Part:
         p = object.__new__(Part)
-        p.used, p.at, p.gap, p.y = (v.astype(np.int64) if k > 1 else v for k, v in enumerate(pickle.loads(x)))
+        p.used, groups, gap, y = pickle.loads(x)
+        p.groups = [(rows.astype(np.int64), table.astype(np.int64)) for rows, table in groups]
+        p.gap, p.y = gap.astype(np.int64), y.astype(np.int64)
         p._count()
         return p
 
+    @staticmethod
+    def joined(some: list[Part]) -> Part:
+        """Several parts as one, rows that are in several of them once; features are padded by 0."""
+        p, groups = object.__new__(Part), []
+        for n in range(max(len(x.groups) for x in some)):
+            own = [(*x.groups[n], x.used) if n < len(x.groups) else (np.zeros(len(x.gap), np.int32), np.zeros((min(1, len(x.gap)), 1), np.int32), np.zeros(1, np.int32)) for x in some]
+            width, at = max(t.shape[1] for _, t, _ in own), np.cumsum([0, *(len(t) for _, t, _ in own)])
+            rows, table = _distinct(np.concatenate([np.pad(used[t], ((0, 0), (0, width - t.shape[1]))) for _, t, used in own]))
+            groups.append((rows[np.concatenate([r + k for (r, _, _), k in zip(own, at)])], table))
+        p._set(np.concatenate([x.gap for x in some]), np.concatenate([x.y for x in some]), groups)
+        return p
+
     def gradient(self, field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
         """That of the labels' likelihood (with -1 summed over) by the weights of ``used`` features and the transitions; ``ratio``: what a run with a name counts."""
         weight = np.where(self.has, ratio, 1.0)
-        own, width = w[self.used], self.at.shape[1]
-        s = own.take(self.flat, axis=0).reshape(*self.at.shape, 3).sum(axis=1)
-        s[:, I] += np.where(self.gap < 0, -20.0, 0.0)
+        own, s = w[self.used], np.zeros((len(self.gap), 3))
+        for rows, table in self.groups:
+            s += own.take(table.ravel(), axis=0).reshape(*table.shape, 3).sum(axis=1).take(rows, axis=0)
+        s[self.gap < 0, I] -= 20.0
         model = np.zeros_like(field.t)
-        p = np.exp(field.chains(s, self, model, weight))
+        p = field.probabilities(s, self, model, weight)
         held = np.bincount(self.step, weight[self.run[self.pair]], 27).reshape(3, 3, 3)
         p -= self.own
         if len(self.open):
-            p[self.open] -= np.exp(field.chains(s[self.open] + self.clamp, self.rest, held, weight[self.run[self.open[self.rest.gap < 0]]]))
-        p *= weight[self.run][:, None]
-        return np.stack([np.bincount(self.flat, np.repeat(p[:, k], width), len(self.used)) for k in range(3)], axis=1), model - held
+            p[self.open] -= field.probabilities(s[self.open] + self.clamp, self.rest, held, weight[self.run[self.open[self.rest.gap < 0]]])
+        p, d = np.ascontiguousarray(p.T) * weight[self.run], np.zeros(own.shape)
+        for k in range(3):
+            for rows, table in self.groups:
+                d[:, k] += np.bincount(table.ravel(), np.repeat(np.bincount(rows, p[k], len(table)), table.shape[1]), len(own))
+        return d, model - held
 
 
 def summed(parts: Iterable[Part], field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -227,43 +340,39 @@ class Field:
         u[runs.gap < 0, I] -= 20.0
         return u
 
-    def chains(self, unary: np.ndarray, runs: Runs, pairs: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
-        """Exact log beliefs of all runs by forward and backward sums, runs of like length at once. ``pairs`` takes up the expected transitions, times ``weight`` (by run)."""
+    def probabilities(self, unary: np.ndarray, runs: Runs, pairs: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
+        """Exact beliefs of all runs by forward and backward sums, one place of all runs at once. ``pairs`` takes up the expected transitions, times ``weight`` (by run)."""
         out = np.zeros_like(unary)
         if not runs.count:
             return out
-        first = np.flatnonzero(runs.gap < 0)
-        size = np.diff(np.append(first, len(unary)))
-        group = np.ceil(np.log2(size)).astype(int)
-        for g in np.unique(group):
-            mine = group == g
-            f, n = first[mine], size[mine]
-            width = int(n.max())
-            at = np.minimum(f[:, None] + np.arange(width), len(unary) - 1)
-            inside = np.arange(width) < n[:, None]
-            u = np.where(inside[:, :, None], unary[at], 0.0)
-            u = np.exp(u - u.max(axis=2, keepdims=True))  # sums are scaled at each step, which changes no belief
-            step = np.exp(self.t)[np.where(inside, runs.gap[at], 0)]
-            forward, backward = u.copy(), np.ones_like(u)
-            for k in range(1, width):
-                x = np.einsum("ri,rij->rj", forward[:, k - 1], step[:, k]) * u[:, k]
-                x /= x.sum(axis=1, keepdims=True)
-                forward[:, k] = np.where(inside[:, k, None], x, forward[:, k - 1])
-            for k in range(width - 2, -1, -1):
-                x = np.einsum("rij,rj->ri", step[:, k + 1], u[:, k + 1] * backward[:, k + 1])
-                x /= x.sum(axis=1, keepdims=True)
-                backward[:, k] = np.where(inside[:, k + 1, None], x, 1.0)
-            both = forward * backward
-            both /= both.sum(axis=2, keepdims=True)
-            out[at[inside]] = both[inside]
-            if pairs is not None:
-                for k in range(1, width):
-                    here = inside[:, k]
-                    x = forward[here, k - 1, :, None] * step[here, k] * (u[here, k] * backward[here, k])[:, None, :]
-                    x *= (weight[mine][here] / x.sum(axis=(1, 2)))[:, None, None]
-                    for gap in range(3):
-                        pairs[gap] += x[runs.gap[at[here, k]] == gap].sum(axis=0)
-        return np.log(np.maximum(out, 1e-300))
+        o = runs.order()
+        u = np.ascontiguousarray(unary.take(o.at, axis=0).T)
+        u = np.exp(u - u.max(axis=0))  # sums are scaled at each step, which changes no belief
+        step = np.exp(self.t).reshape(3, 9).T.take(o.gap, axis=1).reshape(3, 3, -1)
+        forward, backward = u.copy(), np.ones_like(u)
+        for last, here in zip(o.parts, o.parts[1:]):
+            f, t = forward[:, last.start : last.start + here.stop - here.start], step[:, :, here]
+            x = (f[0] * t[0] + f[1] * t[1] + f[2] * t[2]) * u[:, here]
+            forward[:, here] = x / x.sum(axis=0)
+        for last, here in zip(o.parts[-2::-1], o.parts[:0:-1]):
+            b, t = u[:, here] * backward[:, here], step[:, :, here]
+            x = t[:, 0] * b[0] + t[:, 1] * b[1] + t[:, 2] * b[2]
+            backward[:, last.start : last.start + here.stop - here.start] = x / x.sum(axis=0)
+        both = forward * backward
+        both /= both.sum(axis=0)
+        out[o.at] = both.T
+        if pairs is not None:
+            f, b, t, gap = forward[:, o.before], (u * backward)[:, o.later :], step[:, :, o.later :], o.gap[o.later :]
+            x = [[f[i] * t[i, j] * b[j] for j in range(3)] for i in range(3)]
+            scale = weight[o.run[o.later :]] / sum(map(sum, x))
+            for i in range(3):
+                for j in range(3):
+                    pairs[:, i, j] += np.bincount(gap, x[i][j] * scale, 3)
+        return out
+
+    def chains(self, unary: np.ndarray, runs: Runs) -> np.ndarray:
+        """The logarithms of :meth:`probabilities`."""
+        return np.log(np.maximum(self.probabilities(unary, runs), 1e-300))
 
     def beliefs(self, runs: Runs, skips: bool = True) -> np.ndarray:
         """Log probabilities of the labels by loopy message passing: exact sums along chains, between them messages over the skip edges."""
@@ -304,16 +413,20 @@ class Field:
             return
         ratio = float(np.clip(others / max(named, 1), 1.0, 4.0))  # names are rare among the labelled
         w = self.w.astype(np.float64)
-        gw, gt = np.full(w.shape, 1e-6), np.full(self.t.shape, 1e-6)
+        gt = np.full(self.t.shape, 1e-6)
         free = self.t > -10
-        for _ in range(steps):
+        for n in range(steps):
             seen, d, dt = total(self, w, ratio)
-            seen[0] = False
-            d = np.where(seen[:, None], d + l2 * w, 0.0)
+            if not n:  # the same features occur in each step
+                seen[0] = False
+                at = np.flatnonzero(seen)
+                own, gw = w[at], np.full((len(at), 3), 1e-6)
+            d = d[at] + l2 * own
             dt = np.where(free, dt + l2 * self.t, 0.0)
             gw += d * d
             gt += dt * dt
-            w -= 0.3 * d / np.sqrt(gw)
+            own -= 0.3 * d / np.sqrt(gw)
+            w[at] = own
             self.t -= np.where(free, 0.3 * dt / np.sqrt(gt), 0.0)
         self.w = w.astype(np.float32)
 
@@ -322,17 +435,44 @@ class Field:
         self.skip = float(np.clip(np.log((1 + same) / (1 + other)), 0.0, 3.0))
 
 
+@lru_cache(maxsize=1 << 16)
+def _words(piece: str) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """The words of a piece without white space, all in lower case; those that begin in lower case, as they stand."""
+    words = _WORD.findall(piece)
+    return tuple({w.lower() for w in words}), tuple({w for w in words if w[0].islower()})
+
+
+def _add_words(texts: list[str], lower: Counter, whole: Counter) -> None:
+    """Each distinct piece between white space is looked at once, as no word goes over white space."""
+    pieces = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+    coded = pieces.flatten().dictionary_encode()
+    piece, text = coded.indices.to_numpy(), np.repeat(np.arange(len(texts)), pc.list_value_length(pieces).to_numpy())
+    found = [(_words if len(x) <= KEPT else _words.__wrapped__)(x) for x in coded.dictionary.to_pylist()]
+    for k, counter in enumerate((whole, lower)):
+        number: dict[str, int] = {}
+        words = np.array([number.setdefault(w, len(number)) for f in found for w in f[k]], np.int64)
+        size = np.array([len(f[k]) for f in found], np.int64)
+        n = size[piece]
+        at = np.repeat((np.cumsum(size) - size)[piece] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.sort(np.repeat(text, n) * len(number) + words[at])
+        once = both[np.append(both[1:] != both[:-1], len(both) > 0)[: len(both)]]
+        counter.update(dict(zip(number, np.bincount(once % max(len(number), 1), minlength=len(number)).tolist())))
+
+
 def word_counts(texts: list[str | None]) -> tuple[Counter, Counter, Counter]:
     """Texts that hold a word in lower case, at all, and within a run of capitalised words. Words of addresses of any kind don't count."""
-    lower, whole, inside = Counter(), Counter(), Counter()
+    lower, whole, inside, some, size = Counter(), Counter(), Counter(), [], 0
     for t in texts:
         if t:
             if "@" in t or "＠" in t:
                 t = "".join(x for x in regex.split(r"(\s)", t) if "@" not in x and "＠" not in x)  # noqa: PLW2901
-            words = set(regex.findall(r"(?<![\w'’@/.-])[\p{L}\p{M}]+(?![\w@/]|\.\w)", t))
             inside.update({w.lower() for m in RUN.finditer(t) for w in TOKEN.findall(m.group())})
-            lower.update(w for w in words if w[0].islower())
-            whole.update({w.lower() for w in words})
+            some.append(t)
+            size += len(t)
+            if size >= ONCE:
+                _add_words(some, lower, whole)
+                some, size = [], 0
+    _add_words(some, lower, whole)
     return lower, whole, inside
 
 
@@ -353,7 +493,8 @@ def seeds(texts: list[str | None], runs: Runs, taken: list | dict) -> np.ndarray
     labels = np.full(len(runs.words), -1)
     named: dict[int, list[tuple[int, int]]] = {}
     for i in set(runs.text.tolist()):
-        named[i] = [m.span(1) for m in _SEED.finditer(texts[i])]
+        if _cued(texts[i]):
+            named[i] = [m.span(1) for m in _SEED.finditer(texts[i])]
     rates = [runs.rates.get(w, (0, 0)) for w in runs.words]
     bare = np.array([len(w) == 1 and (texts[i] or "")[e : e + 1] != "." for w, i, e in zip(runs.words, runs.text.tolist(), runs.end.tolist())], bool)
     ordinary = bare | np.array([len(w) > 1 and r > 1 or w in TITLES for w, (r, _) in zip(runs.words, rates)], bool)
@@ -362,7 +503,7 @@ def seeds(texts: list[str | None], runs: Runs, taken: list | dict) -> np.ndarray
     first = np.flatnonzero(runs.gap < 0)
     for a, b in zip(first.tolist(), np.append(first[1:], len(labels)).tolist()):
         i = int(runs.text[a])
-        other = np.array([any(s < runs.end[k] and runs.start[k] < e for s, e in taken[i]) for k in range(a, b)])
+        other = np.array([any(s < runs.end[k] and runs.start[k] < e for s, e in taken[i]) for k in range(a, b)]) if taken[i] else np.zeros(b - a, bool)
         labels[a:b][ordinary[a:b] | other | elsewhere[a:b].all()] = O
         for s, e in named.get(i, []):
             k = [x for x in range(a, b) if s <= runs.start[x] and runs.end[x] <= e]

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,9 +32,11 @@ from weirstone.session import shuffles_dropped, written
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 _DIGIT = re.compile(r"\d")
-_AT_WORD = re.compile(r" (?:AT|at) |[\[({<] ?(?:AT|at) ?[\])}>]")
+_AT_BRACKET = re.compile(r"[\[({<] ?(?:AT|at) ?[\])}>]")
 _RUN = re.compile(r"[+(]?\d[\d \-‐‑–.()\u00a0]*\d")
+_SIX = regex.compile(r"\d(?:[ \-‐‑–.()\u00a0]*+\d){5}")
 _LETTERED = re.compile(r"[A-Z]{5}\d{4}[A-Z]")
+_FOUR = regex.compile(r"\d{4}[A-Z]")
 _D = r"\d"  # digits of any script
 _SEP = r"[ .\-‐‑–\u00a0]"
 _U, _W = r"[A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĘĚĞĪİŁŃŇŐŘŚŞŠŤŪŮŰŹŻŽ]", r"[^\W\d_]"
@@ -127,8 +130,11 @@ def _anchors():
 def _regions(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
     """Where numbers and addresses may stand: around six digits or more, and around a word for a way. No pattern below can match elsewhere."""
     size = len(text)
-    numbers = [(max(0, m.start() - 8), min(size, m.end() + 4)) for m in _RUN.finditer(text) if _digits(m.group()) >= 6] if _DIGIT.search(text) else []
-    numbers += [(m.start(), m.end()) for m in _LETTERED.finditer(text)]
+    numbers = [(max(0, m.start() - 8), min(size, m.end() + 4)) for m in _RUN.finditer(text) if _digits(m.group()) >= 6] if _SIX.search(text) else []
+    if _FOUR.search(text):
+        numbers += [(m.start(), m.end()) for m in _LETTERED.finditer(text)]
+    if not _DIGIT.search(text):
+        return _united(numbers), []
     low = text.lower()
     if len(low) != size:
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
@@ -150,7 +156,8 @@ def candidates(text: str) -> list[Node]:
     def cue(p: re.Pattern, s: int) -> bool:
         return p.search(text, max(0, s - 48), s) is not None
 
-    if "@" in text or "＠" in text or _AT_WORD.search(text):
+    # a sign or 'at' in brackets; 'at' as a word only where 'dot' is one
+    if "@" in text or "＠" in text or _AT_BRACKET.search(text) or ((" at " in text or " AT " in text) and ("dot" in text or "DOT" in text)):
         for m in EMAIL.finditer(text):
             v = m.group()
             s = m.start() + (7 if v.lower().startswith("mailto:") else 0)
@@ -287,7 +294,7 @@ def _labelled(field: Field | None):
         y = own.labels(field)
         part = Part(own, y)
         packed = part.packed()
-        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (packed, len(packed), part.named, part.others, *own.agreement(y))], ["packed", "bytes", "named", "others", "same", "other"])
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in (packed, part.bytes, part.named, part.others, *own.agreement(y))], ["packed", "bytes", "named", "others", "same", "other"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some, size = [], 0
@@ -357,6 +364,7 @@ def fit_names(df: DataFrame, key: str, text: str) -> Field:
             if n[0] > HELD:
                 return lambda *x: _totals(parts, *x), *n[1:]
             own = [Part.unpacked(r.packed) for r in parts.select("packed").collect()]  # bounded: HELD bytes
+            own = [Part.joined(own)]
             return lambda *x: summed(own, *x), *n[1:]
 
         return train(field, label)
