@@ -439,6 +439,25 @@ def test_shared_features_are_held_once_and_give_the_same_gradient(field):
         assert np.allclose(d[1:], want[1:], atol=1e-6) and np.allclose(dt, moved) and seen[np.unique(index)].all()
 
 
+def test_steps_of_tasks_leave_no_weights_and_keep_to_few_tasks(spark, monkeypatch):
+    import pyspark
+
+    gone, tasks, destroy, totals = [], [], pyspark.Broadcast.destroy, personal._totals
+    monkeypatch.setattr(pyspark.Broadcast, "destroy", lambda b, *a: (gone.append(b.value.shape), destroy(b, *a)))
+    monkeypatch.setattr(personal, "_totals", lambda parts, *x: (tasks.append(parts.rdd.getNumPartitions()), totals(parts, *x))[1])
+    for k, v in (("STEPS", 3), ("MORE", 2), ("ROUNDS", 1)):
+        monkeypatch.setattr(names, k, v)
+    monkeypatch.setattr(personal, "HELD", 0)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))  # a task a file
+    try:
+        df = spark.createDataFrame([(i, f"My name is Ravi Sund{'abcdefgh'[i % 8]} and I sell") for i in range(800)], "id int, text string").repartition(12)
+        assert personal.fit_names(df, "id", "text").w.any()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert gone == [(1 << names.BITS, 3)] * 5
+    assert tasks == [spark.sparkContext.defaultParallelism] * 5
+
+
 def test_words_are_counted_as_in_whole_texts():
     import regex
 

@@ -89,8 +89,9 @@ WAY_ANCHORS = [f" {w}" for w in "street st road rd lane ln avenue ave drive dr c
 #: A span and its repetition lose by different labels.
 REPEAT, NEIGHBOUR, EXCLUDE = 1.6, 0.3, 12.0
 ROUNDS = 12
-#: Characters of texts, and bytes of runs, that are looked at together in fitting; bytes of labelled runs up to which the driver adds up their gradients; tasks whose sums it takes.
-TOGETHER, PIECE, HELD, SUMS = 20_000_000, 8_000_000, 24_000_000, 16
+#: Characters of texts, and bytes of runs, that are looked at together in fitting; bytes of labelled runs up to which the driver adds up their gradients; tasks whose sums it takes. Beyond, bytes of
+#: labelled runs that a task adds up, piece by piece, where that leaves each core a task.
+TOGETHER, PIECE, HELD, SUMS, BULK = 20_000_000, 8_000_000, 24_000_000, 16, 256_000_000
 
 
 class Node:
@@ -325,12 +326,13 @@ def _packed_sum(seen: np.ndarray, d: np.ndarray, dt: np.ndarray) -> pa.RecordBat
 
 
 def _totals(parts: DataFrame, field: Field, w: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """:func:`names.summed` over a table of parts: by task, then over groups of tasks, and at last here."""
-    bare = Field()
-    bare.w, bare.t = None, field.t  # the weights are in ``w``
+    """:func:`names.summed` over a table of parts: by task, then over groups of tasks, and at last here. The weights go to the tasks once a step, and none stay on disk after it."""
+    transitions, told = field.t, parts.sparkSession.sparkContext.broadcast(w)
 
     def gradients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield _packed_sum(*summed(map(Part.unpacked, _values(batches)), bare, w, ratio))
+        bare = Field()
+        bare.w, bare.t = None, transitions  # the weights are those told
+        yield _packed_sum(*summed(map(Part.unpacked, _values(batches)), bare, told.value, ratio))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed_sum(*_added(map(pickle.loads, _values(batches))))
@@ -339,7 +341,10 @@ def _totals(parts: DataFrame, field: Field, w: np.ndarray, ratio: float) -> tupl
     while tasks > SUMS:
         tasks = -(-tasks // SUMS)
         sums = sums.repartition(tasks).mapInArrow(add, "packed binary")
-    return _added(pickle.loads(r.packed) for r in sums.collect())  # bounded: SUMS rows of 2**BITS weights
+    try:
+        return _added(pickle.loads(r.packed) for r in sums.collect())  # bounded: SUMS rows of 2**BITS weights
+    finally:
+        told.destroy()
 
 
 def fit_names(df: DataFrame, key: str, text: str) -> Field:
@@ -362,7 +367,8 @@ def fit_names(df: DataFrame, key: str, text: str) -> Field:
             parts = written(runs.mapInArrow(_labelled(f), "packed binary, bytes bigint, named bigint, others bigint, same bigint, other bigint"))
             n = parts.agg(*(F.sum(k) for k in ("bytes", "named", "others", "same", "other"))).first()
             if n[0] > HELD:
-                return lambda *x: _totals(parts, *x), *n[1:]
+                fewer = parts.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-n[0] // BULK)))
+                return lambda *x: _totals(fewer, *x), *n[1:]
             own = [Part.unpacked(r.packed) for r in parts.select("packed").collect()]  # bounded: HELD bytes
             own = [Part.joined(own)]
             return lambda *x: summed(own, *x), *n[1:]
