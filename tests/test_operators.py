@@ -156,3 +156,41 @@ def test_streams(spark, tmp_path):
     land = str(tmp_path / "land")
     ingest.land(ingest.deduplicated(read(), "id", "ts"), land, str(tmp_path / "c4")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(land).collect()) == ["a", "b", "c"]
+
+
+def _most_rows(df):
+    """The most rows that a step of the run plan gave."""
+    seen = []
+
+    def walk(node):
+        name = node.nodeName()
+        if name.startswith("AdaptiveSparkPlan"):
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        m = node.metrics().get("numOutputRows")
+        if m.isDefined():
+            seen.append(m.get().value())
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    df.collect()
+    walk(df._jdf.queryExecution().executedPlan())
+    return max(seen)
+
+
+def test_arrival_gaps_start_from_the_account_with_fewer_threads(spark):
+    rows = [("all", f"p{i}", 10 * i) for i in range(400)] + [(f"b{i}", f"p{i + j}", 10 * (i + j) + j + i % 3) for i in range(60) for j in range(2)] + [("b0", "p0", 5), ("b1", "elsewhere", 1), ("b2", "p2", None)]
+    c = spark.createDataFrame(rows, "author string, post_id string, ts bigint")
+    pairs = spark.createDataFrame([("all", f"b{i}") for i in range(60)] + [("Z", "all"), ("b0", "b1"), ("b0", "b9")], "a1 string, a2 string")
+    df = graph.arrival_gaps(c, pairs)
+    assert _most_rows(df) < 2000  # from the other side it would be 60 x 400
+    first = {}
+    for a, p, t in rows:
+        if t is not None:
+            first[a, p] = min(t, first.get((a, p), t))
+    want = {}
+    for a, b in [("all", f"b{i}") for i in range(60)] + [("b0", "b1")]:
+        gaps = [abs(first[a, p] - t) for (x, p), t in first.items() if x == b and (a, p) in first]
+        want[a, b] = (len(gaps), float(np.median(gaps)), min(gaps))
+    assert {(r.a1, r.a2): (r.shared, r.median_gap, r.min_gap) for r in df.collect()} == want

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.functions import metrics as M
+from weirstone.session import shuffles_dropped, written
 
 
 def pair_edges(presence: DataFrame, scope: str, basket: str, item: str, least: int = 2) -> DataFrame:
@@ -37,10 +38,18 @@ def collapse(edges: DataFrame, scope: str) -> DataFrame:
 
 
 def arrival_gaps(c: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a1, a2, shared, median_gap, min_gap): seconds between the first comments of a pair in their shared threads."""
-    first = c.filter("ts IS NOT NULL").groupBy("post_id", "author").agg(F.min("ts").alias("t"))
-    one = pairs.select("a1", "a2").join(first.select(F.col("author").alias("a1"), "post_id", F.col("t").alias("t1")), "a1")
-    two = one.join(first.select(F.col("author").alias("a2"), "post_id", F.col("t").alias("t2")), ["a2", "post_id"])
+    """(a1, a2, shared, median_gap, min_gap): seconds between the first comments of a pair in their shared threads.
+
+    A pair is looked for from the account with fewer threads, so that one in very many threads doesn't give a row for each of them and each of its pairs.
+    """
+    with shuffles_dropped(c.sparkSession):
+        first = written(c.filter("ts IS NOT NULL").groupBy("post_id", "author").agg(F.min("ts").alias("t")))
+    n = first.groupBy("author").agg(F.count("*").alias("n"))
+    side = lambda k: n.select(F.col("author").alias(f"a{k}"), F.col("n").alias(f"n{k}"))
+    fewer = F.col("n1") <= F.col("n2")
+    ask = pairs.select("a1", "a2").join(side(1), "a1").join(side(2), "a2").select("a1", "a2", F.when(fewer, F.col("a1")).otherwise(F.col("a2")).alias("x"), F.when(fewer, F.col("a2")).otherwise(F.col("a1")).alias("y"))
+    one = ask.join(first.select(F.col("author").alias("x"), "post_id", F.col("t").alias("t1")), "x").select("y", "post_id", "a1", "a2", "t1")
+    two = one.join(first.select(F.col("author").alias("y"), "post_id", F.col("t").alias("t2")), ["y", "post_id"])
     gap = F.abs(F.col("t1") - F.col("t2"))
     return two.groupBy("a1", "a2").agg(F.count("*").alias("shared"), F.median(gap).alias("median_gap"), F.min(gap).alias("min_gap"))
 
