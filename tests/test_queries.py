@@ -32,6 +32,11 @@ def test_coordinates_of_one_width(spark):
         models.coordinates(spark.createDataFrame([(1, [1.0] * 9), (2, [1.0])], "k int, v array<double>"), "k", "v")
 
 
+def test_tight_pairs_work_out_the_gaps_once(spark, data):
+    plan = registry.QUERIES["tight_pairs"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2 and "median(" not in plan and "post_id" not in plan
+
+
 def test_model_scores_have_all_rounds(spark, data, monkeypatch):
     from weirstone.plans import modelling
 

@@ -10,6 +10,7 @@ from weirstone.operators import ranks, screening, stats
 from weirstone.operators import text as X
 from weirstone.plans import research
 from weirstone.plans.base import Registry, all_posts, comments, posts, with_views
+from weirstone.session import shuffles_dropped, written
 from weirstone.sources.tables import table
 
 query = Registry()
@@ -244,7 +245,8 @@ g AS (SELECT a1, a2, median(abs(x.t - y.t)) AS gap FROM q JOIN f x ON x.author =
 SELECT a1, a2, gap, gap <= l AS tight FROM g, l"""))
 def tight_pairs(spark, d):
     """Pairs whose median gap is within the 5th percentile of all."""
-    g = research.arrival_gaps(spark, d).select("a1", "a2", F.col("median_gap").alias("gap"))
+    with shuffles_dropped(spark):
+        g = written(research.arrival_gaps(spark, d).select("a1", "a2", F.col("median_gap").alias("gap")))
     return g.join(F.broadcast(g.agg(F.percentile("gap", F.lit(0.05)).alias("l")))).select("a1", "a2", "gap", (F.col("gap") <= F.col("l")).alias("tight"))
 
 
