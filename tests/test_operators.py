@@ -194,3 +194,21 @@ def test_arrival_gaps_start_from_the_account_with_fewer_threads(spark):
         gaps = [abs(first[a, p] - t) for (x, p), t in first.items() if x == b and (a, p) in first]
         want[a, b] = (len(gaps), float(np.median(gaps)), min(gaps))
     assert {(r.a1, r.a2): (r.shared, r.median_gap, r.min_gap) for r in df.collect()} == want
+
+
+def test_tfidf_of_all_grams_of_a_length(spark):
+    from collections import Counter
+
+    from weirstone.operators import text
+
+    rows = [("a", "The rain, the Rain"), ("b", "then İt rained 😀😀😀"), ("c", "no"), ("d", None), ("e", "the\\0the"), ("f", "rainy"), ("g", "qqq")] + [(f"z{i}", "it rains 😀😀" + "n" * i) for i in range(4)]
+    df = text.tfidf(spark.createDataFrame(rows, "k string, t string").repartition(3), "k", "t", features=20, min_df=2)
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()  # a text's grams stay where it is read
+    low = {k: t.lower() for k, t in rows if t and len(t) >= 3}
+    tf = {k: Counter(t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)) for k, t in low.items()}
+    held, total = Counter(g for c in tf.values() for g in c), sum(tf.values(), Counter())
+    top = sorted((g for g in total if held[g] >= 2), key=lambda g: (-total[g], g.encode()))[:20]
+    w = {k: {g: c[g] * (math.log((1 + len(tf)) / (1 + held[g])) + 1) for g in top if g in c} for k, c in tf.items()}
+    want = {(k, g): x / math.sqrt(sum(y * y for y in v.values())) for k, v in w.items() for g, x in v.items()}
+    got = {(r.k, r.gram): r.w for r in df.collect()}
+    assert set(got) == set(want) and all(math.isclose(got[k], want[k]) for k in want) and len(top) == 20
