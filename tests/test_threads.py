@@ -98,3 +98,39 @@ def test_similar_texts_are_met_by_their_rare_words(spark):
     want = {g: sum(1 for (h, k), s in sets.items() for (i, j), t in sets.items() if h == i == g and k < j and 5 * len(s & t) > 3 * len(s | t)) for g in "ab"}
     got = {r.g: r.n_pairs for r in threads.similar_rate(spark.createDataFrame(rows, "g string, k string, t string"), "g", "k", "t").collect()}
     assert got == want and want["a"] >= 6
+
+
+def test_similar_texts_are_counted_without_a_row_for_each_pair_met(spark, monkeypatch):
+    from tests.test_operators import _most_rows
+    from weirstone.operators import similar
+
+    monkeypatch.setattr(similar, "PART", 90)
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(24)]
+    rows = [("ab"[i % 3 == 0], f"k{i:03}", " ".join(rnd.sample(words, rnd.randrange(1, 14)))) for i in range(600)] + [("a", f"r{i}", "same text") for i in range(9)] + [("c", None, "w1 w2"), ("c", "x", "w1 w2"), ("d", "y", "one")]
+    df = threads.similar_rate(spark.createDataFrame(rows, "g string, k string, t string"), "g", "k", "t")
+    assert _most_rows(df) <= len(rows)
+    sets = {(g, k): set(t.split()) for g, k, t in rows if k}
+    want = {g: sum(1 for (h, k), s in sets.items() for (i, j), t in sets.items() if h == i == g and k < j and 5 * len(s & t) > 3 * len(s | t)) for g in "abcd"}
+    got = {r.g: (r.n, r.n_pairs) for r in df.collect()}
+    assert got == {g: (sum(h == g for h, *_ in rows), want[g]) for g in "abcd"} and want["a"] > 100
+
+
+@pytest.mark.parametrize("extend, small, tile, parts", [(1500, 48, 1 << 16, 1), (20, 5, 64, 1), (3, 2, 7, 4), (10, 100, 50, 3)])
+def test_similar_sets_in_cells_that_are_parted(monkeypatch, extend, small, tile, parts):
+    import numpy as np
+
+    from weirstone.operators import similar
+
+    for k, v in (("EXTEND", extend), ("SMALL", small), ("TILE", tile)):
+        monkeypatch.setattr(similar, k, v)
+    rnd = random.Random(5)
+    sets = {tuple(sorted(rnd.sample(range(30), rnd.randrange(1, 14)))) for _ in range(300)}
+    sets = sorted(sets | {tuple(sorted(set(x) ^ {rnd.randrange(60)})) for x in sorted(sets)[:80]} - {()})
+    m = np.array([rnd.randrange(1, 4) for _ in sets])
+    want = sum(int(k * (k - 1) // 2) for k in m) + sum(int(m[i] * m[j]) for i, x in enumerate(sets) for j in range(i) if 5 * len(set(x) & set(sets[j])) > 3 * len(set(x) | set(sets[j])))
+    got = 0
+    for b in range(parts):
+        at = [i for i, x in enumerate(sets) if b in (similar._mixed(np.array(x[: len(x) - 3 * len(x) // 5], np.uint64)) % np.uint64(parts)).tolist()]
+        got += similar.similar_pairs([np.array(sets[i], np.uint64).tobytes() for i in at], m[at], b, parts)
+    assert got == want

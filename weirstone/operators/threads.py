@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weirstone.operators.accounts import rate
 from weirstone.operators.prevalence import top_per_group
-from weirstone.session import checkpointed
+from weirstone.operators.similar import counted_pairs
+from weirstone.session import checkpointed, shuffles_dropped, written
 
 #: Levels that a chain of parents may have.
 GUARD = 200
@@ -95,20 +96,13 @@ def spike_share(c: DataFrame, p: DataFrame, regimes: DataFrame) -> DataFrame:
 def similar_rate(df: DataFrame, group: str, key: str, text: str, num: int = 3, den: int = 5) -> DataFrame:
     """(group, n, n_pairs, rate): texts of a group, pairs of them whose word sets are similar by more than num / den, and their share of all pairs of texts with words.
 
-    Pairs are met in the cells of their rarest words only (two sets that similar share a word among the first |x| - floor(num |x| / den) of each), never all against all.
+    Pairs are met in the cells of their rarest words only, never all against all, and are counted where they are met; a key has one text.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(key).alias("k"), F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda w: w != "")).alias("ws"))
-    rows = rows.filter(F.col("g").isNotNull() & (F.size("ws") > 0))
-    words = rows.select("g", "k", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    held = words.groupBy("g", "w").agg(F.count("*").alias("df"))
-    nth = F.row_number().over(Window.partitionBy("g", "k").orderBy("df", "w"))  # the words of one text
-    prefix = words.join(held, ["g", "w"]).withColumn("i", nth).filter(F.col("i") <= F.col("n") - F.floor(F.col("n") * num / den))
-    side = lambda x: prefix.select("g", "w", F.col("k").alias(f"k{x}"), F.col("n").alias(f"n{x}"))
-    near = (F.least("na", "nb") * den > F.greatest("na", "nb") * num) & (F.col("ka") < F.col("kb"))
-    met = side("a").join(side("b"), ["g", "w"]).filter(near).select("g", "ka", "kb").distinct()
-    sets = lambda x: rows.select("g", F.col("k").alias(f"k{x}"), F.col("ws").alias(f"w{x}"))
-    both = F.size(F.array_intersect("wa", "wb"))
-    found = met.join(sets("a"), ["g", "ka"]).join(sets("b"), ["g", "kb"]).filter(both * den > (F.size("wa") + F.size("wb") - both) * num)
-    n = rows.groupBy("g").agg(F.count("*").alias("n"))
-    out = n.join(found.groupBy("g").agg(F.count("*").alias("n_pairs")), "g", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
+    ws = F.array_distinct(F.filter(F.split(F.lower(F.col(text)), r"[^a-z0-9]+"), lambda w: w != ""))
+    with shuffles_dropped(df.sparkSession):
+        rows = df.select(F.col(group).alias("g"), F.col(key).isNotNull().alias("known"), F.transform(ws, lambda w: F.xxhash64(w)).alias("ws"))
+        rows = written(rows.filter(F.col("g").isNotNull() & (F.size("ws") > 0)))
+        n = rows.groupBy("g").agg(F.count("*").alias("n"))
+        found = counted_pairs(rows.filter("known").select("g", "ws"), n, num, den)
+    out = n.join(found, "g", "left").withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0)))
     return out.select(F.col("g").alias(group), "n", "n_pairs", F.try_divide(F.col("n_pairs") * 2.0, F.col("n") * (F.col("n") - 1)).alias("rate"))
